@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP1_SQL, op1_decontaminate
+from .langid import op9_langid
 from .simhash import op7_simhash
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op7_simhash": op7_simhash,
+    "op9_langid": op9_langid,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_decontaminate": OP1_SQL,
+}
