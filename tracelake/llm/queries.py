@@ -5,10 +5,12 @@ from __future__ import annotations
 from .decontaminate import OP1_SQL, op1_decontaminate
 from .langid import op9_langid
 from .mixing import op6_mixing
+from .pii import op2_pii
 from .simhash import op7_simhash
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_pii": op2_pii,
     "op6_mixing": op6_mixing,
     "op7_simhash": op7_simhash,
     "op9_langid": op9_langid,
