@@ -7,10 +7,12 @@ from .langid import op9_langid
 from .mixing import op6_mixing
 from .pii import op2_pii
 from .simhash import op7_simhash
+from .urlfilter import op4_urlfilter
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_pii": op2_pii,
+    "op4_urlfilter": op4_urlfilter,
     "op6_mixing": op6_mixing,
     "op7_simhash": op7_simhash,
     "op9_langid": op9_langid,
