@@ -7,14 +7,18 @@ from .langid import op9_langid
 from .mixing import op6_mixing
 from .pii import op2_pii
 from .simhash import op7_simhash
+from .toxicity import op8_toxicity
 from .urlfilter import op4_urlfilter
+from .vectors import op3_vectors
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_pii": op2_pii,
+    "op3_vectors": op3_vectors,
     "op4_urlfilter": op4_urlfilter,
     "op6_mixing": op6_mixing,
     "op7_simhash": op7_simhash,
+    "op8_toxicity": op8_toxicity,
     "op9_langid": op9_langid,
 }
 
