@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import OP1_SQL, op1_decontaminate
 from .langid import op9_langid
+from .lmscore import op10_lmscore
 from .mixing import op6_mixing
 from .pii import op2_pii
 from .simhash import op7_simhash
@@ -20,6 +21,7 @@ QUERIES = {
     "op7_simhash": op7_simhash,
     "op8_toxicity": op8_toxicity,
     "op9_langid": op9_langid,
+    "op10_lmscore": op10_lmscore,
 }
 
 ORACLES: dict[str, str] = {
