@@ -8,6 +8,7 @@ from .lmscore import op10_lmscore
 from .mixing import op6_mixing
 from .pii import op2_pii
 from .simhash import op7_simhash
+from .suffixdedup import op5_suffixdedup
 from .toxicity import op8_toxicity
 from .urlfilter import op4_urlfilter
 from .vectors import op3_vectors
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_pii": op2_pii,
     "op3_vectors": op3_vectors,
     "op4_urlfilter": op4_urlfilter,
+    "op5_suffixdedup": op5_suffixdedup,
     "op6_mixing": op6_mixing,
     "op7_simhash": op7_simhash,
     "op8_toxicity": op8_toxicity,
