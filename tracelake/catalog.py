@@ -1,4 +1,4 @@
-"""Registry of the evidence queries and of their DuckDB twins."""
+"""All evidence queries and their DuckDB twins."""
 
 from __future__ import annotations
 
@@ -6,17 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_ORACLES: dict[str, str] = {}
+from . import registry
+from .plans import q_graph, q_joins, q_scalars  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _QUERIES
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return _ORACLES
+    return {name: registry.oracle(name) for name in registry.ORACLES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    return registry.QUERIES["agg_lineage_stats"](spark, sf_dir)
