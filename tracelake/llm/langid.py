@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import fold_of, small_batches, table
 
@@ -59,11 +60,11 @@ def presence(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of a binary column; nulls are empty."""
+    """Bytes and offsets of a string or binary column; nulls are empty."""
     if col.null_count:
-        col = col.fill_null(b"")
+        col = col.fill_null(b"" if pa.types.is_binary(col.type) or pa.types.is_large_binary(col.type) else "")
     _, off, data = col.buffers()
-    large = pa.types.is_large_binary(col.type)
+    large = pa.types.is_large_binary(col.type) or pa.types.is_large_string(col.type)
     offsets = np.frombuffer(off, dtype=np.int64 if large else np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
@@ -136,16 +137,17 @@ def identify(docs: DataFrame, model: KernelModel | None, text_col: str = "text",
     spark = docs.sparkSession
     small_batches(spark, 512)
     held = spark.sparkContext.broadcast(model)  # BINS x languages floats: half a megabyte for four languages
-    names = list(out)
-    fields = docs.drop(*names).schema
+    kept = docs.drop(*out)
+    at = kept.columns.index(text_col)
+    names = [*kept.columns, *out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = [b.column(k) for k in range(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*cols, *predict(held.value, b.column(b.num_columns - 1))], names=[*fields.names, *names])
+            cols = [b.column(k) for k in range(b.num_columns)]
+            yield pa.RecordBatch.from_arrays([*cols, *predict(held.value, cols[at])], names=names)
 
-    schema = fields.add(names[0], "string").add(names[1], "double")
-    return docs.drop(*names).withColumn("_text", F.col(text_col).cast("binary")).mapInArrow(run, schema)
+    schema = T.StructType([*kept.schema.fields, T.StructField(out[0], T.StringType()), T.StructField(out[1], T.DoubleType())])
+    return kept.mapInArrow(run, schema)
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,7 +172,7 @@ def identify_ids(docs: DataFrame, model: KernelModel | None) -> DataFrame:
 
 
 def predict(model: KernelModel | None, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
-    """Language and score of each text of a binary column."""
+    """Language and score of each text of a column."""
     n = len(texts)
     pred, score = np.full(n, "und", dtype=object), np.zeros(n)
     if model is not None and n:
