@@ -6,9 +6,9 @@ LENGTH-byte prefixes of neighbours. To sort in parallel, the text is dealt into
 1. Anchors. Every string of LENGTH bytes holds LENGTH - GRAM + 1 grams; the one with the least hash (leftmost) is its anchor,
    chosen by the string's bytes alone, so equal strings have equal anchors at equal offsets. The starts that share one
    anchor place are a run. Runs whose anchor gram occurs once in the corpus cannot repeat and go no further.
-2. Runs of equal anchor grams are compared with each other only; equal run texts are combined before they are shuffled. Grams with
-   more than HOT runs are dealt out anew: starts of equal offset to the anchor, FINER of them at a time, with the hash of the bytes
-   that all their strings share, which equal strings share too; runs alone under the finer key go no further.
+2. Runs of equal anchor grams are compared with each other only; equal run texts are one from here on, with a count. Grams with
+   more than HOT distinct runs are dealt out anew: starts of equal offset to the anchor, FINER of them at a time, with the hash of the
+   bytes that all their strings share, which equal strings share too; runs alone under the finer key go no further.
 3. Distinct run texts of whole grams, up to SORT_BYTES at a time, joined with separators, are sorted by the difference-cover algorithm: triples at
    positions 1 and 2 modulo 3 are sorted and named, the names sorted by recursion, the other suffixes sorted by one symbol and the
    rank behind it, and both merged. Neighbouring starts with equal LENGTH-byte prefixes are repeats.
@@ -209,7 +209,7 @@ def distinct_texts(docs: DataFrame, base: str) -> str:
 
 
 def find_runs(texts: DataFrame, base: str) -> DataFrame:
-    """(key, rh, tid, first, starts, off, text): the runs whose anchor gram occurs twice at least; stored."""
+    """(key, rh, owner, first, starts, off, c, text): the runs of each text (owner) whose anchor gram occurs twice at least; stored."""
     spark = texts.sparkSession
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,11 +227,11 @@ def find_runs(texts: DataFrame, base: str) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: list[list] = [[], [], [], [], [], [], []]
+            cols: list[list] = [[] for _ in range(8)]
             for tid, text, runs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 for r in runs:
                     part = text[r["first"] : r["first"] + r["starts"] + LENGTH - 1]
-                    for c, v in zip(cols, (r["key"], _digest(part), tid, r["first"], r["starts"], r["off"], part)):
+                    for c, v in zip(cols, (r["key"], _digest(part), tid, r["first"], r["starts"], r["off"], 1, part)):
                         c.append(v)
             yield _runs(cols)
 
@@ -239,21 +239,22 @@ def find_runs(texts: DataFrame, base: str) -> DataFrame:
     return stored(joined.mapInArrow(cut, _RUNS), f"{base}/runs")
 
 
-_RUNS = "key long, rh binary, tid string, first long, starts long, off long, text binary"
+_RUNS = "key long, rh binary, owner string, first long, starts long, off long, c long, text binary"
 
 
 def _runs(cols: list[list]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["key", "rh", "tid", "first", "starts", "off", "text"])
+    kinds = [pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["key", "rh", "owner", "first", "starts", "off", "c", "text"])
 
 
-def finer(runs: DataFrame, width: int) -> DataFrame:
-    """Runs cut by offset to the anchor, width of them at a time, under the hash of the slice and of the bytes that all their strings share."""
+def finer(each: DataFrame, width: int) -> DataFrame:
+    """Distinct runs cut by offset to the anchor, width of them at a time, under the hash of the slice and of the bytes that all
+    its strings share. The owner of a cut is the run it comes from."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: list[list] = [[], [], [], [], [], [], []]
-            for key, _, tid, first, starts, off, text in zip(*(b.column(k).to_pylist() for k in range(7))):
+            cols: list[list] = [[] for _ in range(8)]
+            for key, owner, starts, off, c, text in zip(*(b.column(k).to_pylist() for k in range(6))):
                 # Start j of the run has offset off - j; slice q holds the offsets q * width .. q * width + width - 1.
                 j = 0
                 while j < starts:
@@ -262,19 +263,28 @@ def finer(runs: DataFrame, width: int) -> DataFrame:
                     core = text[off - q * width : off - q * width + LENGTH - width + 1]
                     part = text[j : last + LENGTH]
                     name = _digest(key.to_bytes(8, "little", signed=True) + q.to_bytes(4, "little") + core)
-                    for c, v in zip(cols, (int.from_bytes(name[:8], "little", signed=True), _digest(part), tid, first + j, last - j + 1, off - j, part)):
-                        c.append(v)
+                    for col, v in zip(cols, (int.from_bytes(name[:8], "little", signed=True), _digest(part), owner, j, last - j + 1, off - j, c, part)):
+                        col.append(v)
                     j = last + 1
             yield _runs(cols)
 
-    return runs.mapInArrow(cut, _RUNS)
+    return each.select("key", owner_of(), "starts", "off", "c", "text").mapInArrow(cut, _RUNS)
+
+
+def owner_of():
+    """Name of a distinct run, as owner of its cuts."""
+    return F.concat(F.col("key").cast("string"), F.lit("/"), F.hex("rh")).alias("owner")
+
 
+def distinct_runs(runs: DataFrame) -> DataFrame:
+    """(key, rh, c, starts, off, text): equal run texts of a key as one row."""
+    return runs.groupBy("key", "rh").agg(F.sum("c").alias("c"), F.min("starts").alias("starts"), F.min("off").alias("off"), F.any_value("text").alias("text"))
 
-def repeats(runs: DataFrame) -> DataFrame:
+
+def repeats(each: DataFrame) -> DataFrame:
     """(key, rh, lo, hi): ranges of repeated starts of each distinct run, by sorting suffixes of whole keys together."""
-    spark = runs.sparkSession
-    each = runs.groupBy("key", "rh").agg(F.count(F.lit(1)).alias("c"), F.any_value("text").alias("text"))
-    flow = each.repartition(shuffle_width(spark), "key").sortWithinPartitions("key")
+    spark = each.sparkSession
+    flow = each.select("key", "rh", "c", "text").repartition(shuffle_width(spark), "key").sortWithinPartitions("key")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
@@ -316,26 +326,32 @@ def covered(docs: DataFrame, base: str) -> tuple[str, DataFrame]:
     small_batches(spark, 512)
     texts = distinct_texts(docs, base)
     release(spark)
-    runs, parts = find_runs(spark.table(texts), base), []
+    runs = find_runs(spark.table(texts), base)
     release(spark)
-    for level, width in enumerate(FINER):
-        hot = runs.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT).select("key")
-        hot = stored(hot, f"{base}/hot{level}")
-        if not hot.limit(1).count():
-            break
-        parts.append(runs.join(hot, "key", "left_anti"))
-        fine = stored(finer(runs.join(hot, "key", "left_semi").select(*runs.columns), width), f"{base}/finer{level}")
-        again = fine.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-        runs = fine.join(again, "key", "left_semi").select(*fine.columns)
-    for part in parts:
-        runs = runs.unionByName(part.select(*runs.columns))
-    found = stored(repeats(runs), f"{base}/repeats")
-    spans = runs.select("key", "rh", "tid", "first").join(found, ["key", "rh"]).select("tid", (F.col("first") + F.col("lo")).alias("a"), (F.col("first") + F.col("hi") + LENGTH - 1).alias("b"))
+    found = repeated_ranges(runs, base)
+    spans = found.select(F.col("owner").alias("tid"), F.col("lo").alias("a"), (F.col("hi") + LENGTH - 1).alias("b"))
     spans = stored(spans.groupBy("tid").agg(F.collect_list(F.struct("a", "b")).alias("spans")), f"{base}/spans")
     release(spark)
     return texts, spans
 
 
+def repeated_ranges(runs: DataFrame, base: str, level: int = 0) -> DataFrame:
+    """(owner, lo, hi): ranges of repeated starts within each owner."""
+    each = stored(distinct_runs(runs), f"{base}/each{level}")
+    found = None
+    if level < len(FINER):
+        hot = stored(each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("key"), f"{base}/hot{level}")
+        if hot.limit(1).count():
+            fine = stored(finer(each.join(hot, "key", "left_semi"), FINER[level]), f"{base}/finer{level}")
+            again = fine.groupBy("key").agg(F.sum("c").alias("n")).where("n > 1").select("key")
+            inner = repeated_ranges(fine.join(again, "key", "left_semi").select(*fine.columns), base, level + 1)
+            found = each.select("key", "rh", owner_of()).join(inner, "owner").select("key", "rh", "lo", "hi")
+            each = each.join(hot, "key", "left_anti").select(*each.columns)
+    cold = stored(repeats(each), f"{base}/repeats{level}")
+    found = cold if found is None else found.unionByName(cold)
+    return runs.select("key", "rh", "owner", "first").join(found, ["key", "rh"]).select("owner", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi"))
+
+
 def merged(spans: list[dict] | None, copies: int, size: int) -> list[tuple[int, int]]:
     """Maximal removed runs of a text."""
     if copies > 1 and size >= LENGTH:
@@ -379,7 +395,7 @@ def deduplicate(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
     per_text = spark.table(texts).join(spans, "tid", "left").select("tid", "copies", "text", "spans").mapInArrow(cut, fields)
     per_text = stored(per_text, f"{base}/kept")
     spark.sql(f"DROP TABLE {texts}")
-    for part in ("texts", "anchors", "runs", *[f"finer{k}" for k in range(len(FINER))]):
+    for part in ("texts", "anchors", "runs", *[f"{name}{k}" for name in ("each", "finer") for k in range(len(FINER) + 1)]):
         drop_path(spark, f"{base}/{part}")
     release(spark)
     ids = docs.select("doc_id", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("tid"))
