@@ -74,11 +74,14 @@ class Net:
     def responses(tables: list[list[np.ndarray]], ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """Maxima (texts x filters) of concatenated padded texts, and all responses by width. starts: first token of each text."""
         best, each = [], []
+        ends = np.append(starts[1:], len(ids))
         for parts in tables:
             n = len(parts)
             r = parts[0][ids[: len(ids) - n + 1]].copy()
             for k in range(1, n):
                 r += parts[k][ids[k : len(ids) - n + 1 + k]]
+            for k in range(1, n):  # windows that would reach into the next text
+                r[ends[ends - k < len(r)] - k] = -np.inf
             each.append(r)
             best.append(np.maximum.reduceat(r, starts, axis=0))
         return np.concatenate(best, axis=1), each
