@@ -3,7 +3,7 @@
 Slots of BLOCK words are numbered 1, 2, ...; the golden-ratio point of slot k, k * PHI mod 2^32, falls into one source's
 share of the cumulative target weights. The rank of a slot among its source's slots says which block of that source's
 shuffled word stream it carries; the stream wraps around, so ranks past the last block repeat words. A source stops
-when it has taken its target, its last block being cut. Integer arithmetic throughout: reruns agree.
+when it has taken its target, its last block being cut; slots that the points leave short come at the end. Integer arithmetic throughout: reruns agree.
 
 Targets: sources by code point, null last, weigh WEIGHTS in turn and share all sizes; a target above CAP times
 its source's size stops there and its excess is reshared by weight until none is above. Each pass sums over sources.
@@ -79,8 +79,14 @@ def schedule(spark: SparkSession, goals: DataFrame, base: str) -> DataFrame:
     before = before.select("source_rank", "part", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("earlier"))
     rank = F.row_number().over(Window.partitionBy("source_rank", "part").orderBy("slot")) - 1
     nth = placed.withColumn("r", rank).join(before, ["source_rank", "part"]).withColumn("nth", F.col("r") + F.col("earlier"))
-    left = F.col("quota") - F.col("nth") * BLOCK
-    return nth.where(left > 0).select("slot", "source_rank", "nth", F.least(left, F.lit(BLOCK)).alias("words"))
+    used = nth.select("slot", "source_rank", "nth", "quota").where(F.col("nth") * BLOCK < F.col("quota"))
+    # A source whose share no point has met often enough, as one with a target below a block, gets the rest of its slots at the end.
+    met = placed.groupBy("source_rank").agg(F.count(F.lit(1)).alias("n"))
+    need = goals.select(F.col("rank").alias("source_rank"), "quota", F.ceil(F.col("quota") / BLOCK).alias("need")).join(met, "source_rank", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    short = need.where("n < need").withColumn("nth", F.explode(F.sequence(F.col("n"), F.col("need") - 1)))
+    sources = goals.agg(F.max("rank")).first()[0] or 0
+    rest = short.select((F.lit(slots + 1) + F.col("nth") * (sources + 1) + F.col("source_rank")).alias("slot"), "source_rank", "nth", "quota")
+    return used.unionByName(rest).select("slot", "source_rank", "nth", F.least(F.col("quota") - F.col("nth") * BLOCK, F.lit(BLOCK)).alias("words"))
 
 
 def streams(docs: DataFrame) -> DataFrame:
@@ -122,3 +128,18 @@ def mix(docs: DataFrame) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
+
+
+# The schedule fills every quota, so a source's slots carry the words [0, quota) of its wrapped stream.
+OP6_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+p AS (SELECT *, md5('42:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || row_number() OVER (PARTITION BY doc_id ORDER BY source NULLS FIRST, size)) AS place FROM d),
+s AS (SELECT source, source_size, [5.0::DOUBLE, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source)),
+o AS (SELECT *, CAST(sum(source_size) OVER () AS BIGINT) AS total, coalesce(CAST(sum(3 * source_size) OVER before AS BIGINT), 0) AS capped, sum(w) OVER (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open,
+             row_number() OVER (ORDER BY source_size / w, source NULLS LAST) AS k
+      FROM s WINDOW before AS (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT coalesce(arg_min((total - capped) / open, k) FILTER ((total - capped) / open * w <= 3 * source_size), 0) AS level FROM o),
+t AS (SELECT source AS src, source_size, CASE WHEN level * w > 3 * source_size THEN 3.0::DOUBLE * source_size ELSE level * w END AS target FROM s, l),
+q AS (SELECT p.*, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS quota, CAST(coalesce(sum(size) OVER (PARTITION BY source ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at_word FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.src)
+SELECT doc_id, size, source_size, target, CAST(quota // greatest(source_size, 1) * size + greatest(0, least(size, quota % greatest(source_size, 1) - at_word)) AS BIGINT) AS taken FROM q
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from .decontaminate import OP1_SQL, op1_decontaminate
 from .langid import op9_langid
 from .lmscore import op10_lmscore
-from .mixing import op6_mixing
+from .mixing import OP6_SQL, op6_mixing
 from .pii import op2_pii
 from .simhash import op7_simhash
 from .suffixdedup import op5_suffixdedup
@@ -28,4 +28,5 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_decontaminate": OP1_SQL,
+    "op6_mixing": OP6_SQL,
 }
