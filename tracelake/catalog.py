@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import registry
-from .plans import q_aggregates, q_graph, q_io, q_jobs, q_joins, q_scalars, q_verify  # noqa: F401  they register their queries
+from .plans import q_aggregates, q_disk, q_graph, q_io, q_jobs, q_joins, q_scalars, q_verify  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
