@@ -27,7 +27,7 @@ from .common import ascii_lower, shared_dir, stored, table
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 WINDOW, MIN_ITEMS = 8, 2
 #: Lists of a window that are intersected before others are read.
-RAREST = 3
+RAREST = 2
 #: A counted side of so many narrow rows at most is broadcast (about 10 MB).
 BROADCAST_ROWS = 250_000
 CLOSE = "\u0000"
