@@ -1,10 +1,11 @@
 """Toxicity by a convolutional text classifier.
 
-Words (A-Z lower-cased, ASCII punctuation stripped from both ends) are hashed to BUCKETS embeddings; words of fewer than
-MIN_DOCS documents of the sample share one embedding. Filters of WIDTHS words run over the whole text, each filter's
-maximum feeds a logistic output. Trained in numpy with Adam; the first dimension starts as the word's shrunk log-odds
-of the classes. The filters are linear in the embeddings, so for scoring their products with every embedding are
-tabled once and a window's response is a sum of table rows.
+Words (A-Z lower-cased, ASCII punctuation stripped from both ends) and their prefixes of PREFIXES letters are units, known by
+their crc32. The UNITS units whose shrunk log-odds of the classes are largest in the sample have an embedding; a word takes that of
+its most telling unit, so that inflected and new forms of a stem count, and all other words share one. Filters of WIDTHS words run
+over the whole text, each filter's maximum feeds a logistic output. Trained in numpy with Adam; the first dimension starts as the
+unit's log-odds. The filters are linear in the embeddings, so for scoring their products with every embedding are tabled once and a
+window's response is a sum of table rows.
 
 Fitted on a bounded sample: the MAX_DOCS labelled documents of each class with the lowest hash of their id, from
 the learning folds. A score is calibrated (Platt) on a part of the sample that the weights do not see. Thresholds by
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 from .common import fold_of, small_batches, table
 
 FOLDS, HELD_OUT = 5, 0
-BUCKETS, DIM, WIDTHS, FILTERS = 1 << 17, 8, (1, 2, 3), 6
+UNITS, DIM, WIDTHS, FILTERS, PREFIXES = 8192, 8, (1, 2, 3), 6, (4, 5, 6, 7)
+ROWS = UNITS + 2
 MAX_DOCS, MAX_BYTES, MIN_DOCS, EPOCHS, BATCH, SEED = 4000, 20_000, 3, 4, 32, 11
 #: Of texts that a language's threshold flags, so many are toxic at least, as measured on the calibration part.
 MIN_PRECISION = 0.9
@@ -36,12 +38,24 @@ PAD, RARE = 0, 1
 _STRIP = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 
-def word_hash(word: bytes) -> int:
-    return zlib.crc32(word.strip(_STRIP))
+def units_of(word: bytes) -> list[int]:
+    """Hashes of a word and of its prefixes; a prefix is marked, so that it differs from the word of the same letters."""
+    w = word.strip(_STRIP)
+    return [zlib.crc32(w), *[zlib.crc32(b"^" + w[:n]) for n in PREFIXES if len(w) > n]]
 
 
-def tokens_of(text: bytes, known: frozenset[int], cache: dict[bytes, int]) -> np.ndarray:
-    """Bucket of each word; PAD alone for a text without words. cache: words seen, bounded by the caller."""
+def row_of(word: bytes, known: dict[int, tuple[int, float]]) -> int:
+    """Embedding of a word's most telling unit, the word itself first."""
+    best, row = 0.0, RARE
+    for h in units_of(word):
+        found = known.get(h)
+        if found and abs(found[1]) > best:
+            row, best = found[0], abs(found[1])
+    return row
+
+
+def tokens_of(text: bytes, known: dict[int, tuple[int, float]], cache: dict[bytes, int]) -> np.ndarray:
+    """Embedding row of each word; PAD alone for a text without words. cache: words seen, bounded by the caller."""
     words = text.lower().split()
     if not words:
         return np.zeros(1, dtype=np.int32)
@@ -49,22 +63,33 @@ def tokens_of(text: bytes, known: frozenset[int], cache: dict[bytes, int]) -> np
     if None in got:
         for k, g in enumerate(got):
             if g is None:
-                h = word_hash(words[k])
-                got[k] = cache[words[k]] = 2 + h % (BUCKETS - 2) if h in known else RARE
+                got[k] = cache[words[k]] = row_of(words[k], known)
     return np.array(got, dtype=np.int32)
 
 
+def telling_units(texts: list[bytes], y: np.ndarray) -> dict[int, tuple[int, float]]:
+    """For the UNITS most telling hashes of MIN_DOCS texts or more: row and log-odds that a toxic and another text hold it, shrunk."""
+    seen: dict[int, list[int]] = {}
+    for text, t in zip(texts, y):
+        for h in {h for w in set(text.lower().split()) for h in units_of(w)}:
+            seen.setdefault(h, [0, 0])[int(t)] += 1
+    n0, n1 = int((y == 0).sum()), int((y == 1).sum())
+    odds = {h: (np.log((b + 0.5) / (n1 + 1)) - np.log((a + 0.5) / (n0 + 1))) * (a + b) / (a + b + 5) for h, (a, b) in seen.items() if a + b >= MIN_DOCS}
+    top = sorted(odds, key=lambda h: (-abs(odds[h]), h))[:UNITS]
+    return {h: (2 + k, float(odds[h])) for k, h in enumerate(top)}
+
+
 class Net:
     """Embeddings e, filters w (one array a width: width * DIM x FILTERS), biases b, output u and v, Platt pair, thresholds."""
 
     def __init__(self, rng: np.random.Generator):
-        self.e = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
+        self.e = rng.normal(0, 0.1, (ROWS, DIM)).astype(np.float32)
         self.e[PAD] = 0
         self.w = [rng.normal(0, 0.3, (n * DIM, FILTERS)).astype(np.float32) for n in WIDTHS]
         self.b = [np.zeros(FILTERS, dtype=np.float32) for _ in WIDTHS]
         self.u = rng.normal(0, 0.3, FILTERS * len(WIDTHS)).astype(np.float32)
         self.v = np.float32(0)
-        self.platt, self.thresholds, self.known = (1.0, 0.0), {}, frozenset()
+        self.platt, self.thresholds, self.known = (1.0, 0.0), {}, {}
 
     def tables(self) -> list[list[np.ndarray]]:
         """For each width and place: the embeddings' products with that place's filters."""
@@ -99,32 +124,18 @@ def joined(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return ids, starts
 
 
-def log_odds(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """For each bucket the log-odds that a toxic and another document hold it, shrunk where few do."""
-    has = np.zeros((2, BUCKETS))
-    for d, t in zip(docs, y):
-        has[int(t), np.unique(d)] += 1
-    n = np.array([(y == 0).sum(), (y == 1).sum()])
-    odds = np.log((has[1] + 0.5) / (n[1] + 1)) - np.log((has[0] + 0.5) / (n[0] + 1))
-    odds *= has.sum(axis=0) / (has.sum(axis=0) + 5)
-    odds[[PAD, RARE]] = 0
-    return odds
-
-
 def train(texts: list[bytes], y: np.ndarray, langs: list[str]) -> Net:
     """The last fifth of the shuffled sample calibrates, the rest trains."""
     rng = np.random.default_rng(SEED)
     net, order = Net(rng), rng.permutation(len(texts))
     cut = max(1, len(texts) * 4 // 5)
     fit, cal = order[:cut], order[cut:]
-    seen: dict[int, int] = {}
-    for k in fit:
-        for h in set(map(word_hash, set(texts[k].lower().split()))):
-            seen[h] = seen.get(h, 0) + 1
-    net.known = frozenset(h for h, n in seen.items() if n >= MIN_DOCS)
+    net.known = telling_units([texts[k] for k in fit], y[fit])
     cache: dict[bytes, int] = {}
     docs = [tokens_of(t, net.known, cache) for t in texts]
-    net.e[:, 0] = log_odds([docs[k] for k in fit], y[fit])
+    net.e[:, 0] = 0
+    for row, odds in net.known.values():
+        net.e[row, 0] = odds
     for k, n in enumerate(WIDTHS):
         net.w[k][:, 0] = 0
         net.w[k][0 :: DIM, 0] = 1 / n
@@ -236,7 +247,7 @@ def classify(docs: DataFrame, net: Net | None) -> DataFrame:
     """Per row: doc_id, score, flagged (score at or above the threshold of the row's lang, 0.5 for others)."""
     spark = docs.sparkSession
     small_batches(spark, 512)
-    held = spark.sparkContext.broadcast(net)  # BUCKETS x DIM floats
+    held = spark.sparkContext.broadcast(net)  # ROWS x DIM floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = held.value
