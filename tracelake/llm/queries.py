@@ -10,8 +10,8 @@ from .pii import op2_pii
 from .simhash import op7_simhash
 from .suffixdedup import op5_suffixdedup
 from .toxicity import op8_toxicity
-from .urlfilter import op4_urlfilter
-from .vectors import op3_vectors
+from .urlfilter import OP4_SQL, op4_urlfilter
+from .vectors import OP3_SQL, op3_vectors
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
@@ -28,5 +28,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_decontaminate": OP1_SQL,
+    "op3_vectors": OP3_SQL,
+    "op4_urlfilter": OP4_SQL,
     "op6_mixing": OP6_SQL,
 }

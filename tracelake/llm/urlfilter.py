@@ -107,3 +107,34 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
 
 def op4_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages")).drop("blocked_by_alias")
+
+
+_SQL_ATTR = r"""nullif(regexp_extract({0}, '(?is)\b{1}\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', {2}), '')"""
+
+
+def _sql_attr(tag: str, name: str) -> str:
+    return "coalesce(" + ", ".join(_SQL_ATTR.format(tag, name, k) for k in (1, 2, 3)) + ")"
+
+
+_SQL_LOW = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SQL_HOST = _SQL_LOW.format(r"regexp_extract(coalesce({0}, ''), '(?s)^.*?://([^/?#]*)', 1)")
+_SQL_NORMAL = (
+    r"CASE WHEN contains({0}, '://') AND regexp_replace(" + _SQL_HOST + r", ':(80|443)$', '') <> '' THEN regexp_replace(" + _SQL_HOST + r", ':(80|443)$', '') || regexp_replace(regexp_extract({0}, '(?s)^.*?://[^/?#]*([^#]*)', 1), '/+(\?|$)', '\1', 'g') END"
+)
+_SQL_CASES = sorted(RULES, key=lambda r: -len(r[0]) - len(r[1]))
+_SQL_RULE = "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN {{{k}}}" for k, (h, p, v) in enumerate(_SQL_CASES)) + " END"
+
+OP4_SQL = rf"""
+WITH RECURSIVE p AS (SELECT row_number() OVER () AS r, page_id, url, coalesce(html, '') AS html, {_SQL_HOST.format("url")} AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+j AS (SELECT *, {_SQL_RULE.format(*[f"'{h}{p}'" for h, p, _ in _SQL_CASES])} AS rule, {_SQL_RULE.format(*[f"'{v}'" for _, _, v in _SQL_CASES])} AS own, coalesce({_SQL_NORMAL.format("url")}, '://' || r) AS node FROM p),
+tag AS (SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS t FROM p WHERE contains(url, '://') AND regexp_matches(html, '(?i)canonical|refresh|og:url')),
+dst AS (SELECT url, replace(trim(CASE WHEN regexp_matches({_sql_attr("t", "rel")}, '(?i)(^|\s)canonical(\s|$)') THEN {_sql_attr("t", "href")}
+        WHEN lower({_sql_attr("t", "http-equiv")}) = 'refresh' THEN regexp_extract({_sql_attr("t", "content")}, '(?i)url\s*=\s*[''"]?([^''"]+)', 1)
+        WHEN lower({_sql_attr("t", "property")}) = 'og:url' THEN {_sql_attr("t", "content")} END), '&amp;', '&') AS x FROM tag),
+base AS (SELECT url, x, regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) AS root, regexp_extract(url, '(?s)^(.*?://[^/?#]*(?:/[^?#]*/|/)?)', 1) AS folder, regexp_extract(url, '(?s)^(.*?:)//', 1) AS scheme FROM dst WHERE x <> ''),
+full_url AS (SELECT url, CASE WHEN regexp_matches(x, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN x WHEN starts_with(x, '//') THEN scheme || x WHEN starts_with(x, '/') THEN root || x WHEN ends_with(folder, '/') THEN folder || x ELSE folder || '/' || x END AS x FROM base),
+e AS (SELECT {_SQL_NORMAL.format("url")} AS a, {_SQL_NORMAL.format("x")} AS b FROM full_url),
+both_ways AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
+bad(node) AS (SELECT node FROM j WHERE own = 'block' UNION SELECT b FROM bad JOIN both_ways ON a = node)
+SELECT page_id, host, path, rule, coalesce(own, CASE WHEN node IN (SELECT node FROM bad) THEN 'block' ELSE 'allow' END) AS verdict FROM j
+"""

@@ -175,3 +175,15 @@ def near_vectors(vectors: DataFrame, least: float = LEAST) -> DataFrame:
 
 def op3_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP3_SQL = r"""
+WITH RECURSIVE v AS (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT r, vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v
+       WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+link AS (SELECT a.r AS a, b.r AS b, b.vec_id AS vb FROM ok a JOIN ok b ON a.r <> b.r AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9),
+reach(r, here, vec_id) AS (SELECT r, r, vec_id FROM v UNION SELECT reach.r, link.b, link.vb FROM reach JOIN link ON link.a = reach.here),
+low AS (SELECT r, min(vec_id) AS component_id FROM reach GROUP BY r),
+cnt AS (SELECT a AS r, count(*) AS n FROM link GROUP BY a)
+SELECT v.vec_id, CAST(coalesce(cnt.n, 0) AS BIGINT) AS n_links, low.component_id, v.vec_id = low.component_id AS kept FROM v JOIN low USING (r) LEFT JOIN cnt USING (r)
+"""
