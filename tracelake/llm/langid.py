@@ -88,19 +88,25 @@ class KernelModel:
         return np.concatenate(out) if out else np.zeros((0, len(self.langs)))
 
 
+def _normed(texts: list[bytes], run: int = 64) -> Iterator[np.ndarray]:
+    """Presence rows of length 1, a few texts at a time: the whole sample's would fill the driver."""
+    for i in range(0, len(texts), run):
+        part = texts[i : i + run]
+        offsets = np.concatenate(([0], np.cumsum([len(t) for t in part]))).astype(np.int64)
+        p = presence(np.frombuffer(b"".join(part), dtype=np.uint8), offsets).astype(np.float32)
+        yield p / np.sqrt(np.maximum(p.sum(axis=1), 1))[:, None]
+
+
 def train(texts: list[bytes], langs: list[str]) -> KernelModel:
     """Nystrom landmarks are spread over the languages in turn; ridge regression of +1/-1 on the features."""
     names = sorted(set(langs))
     y = np.array([names.index(x) for x in langs])
-    offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
-    p = presence(np.frombuffer(b"".join(texts), dtype=np.uint8), offsets)
-    p = p.astype(np.float32) / np.sqrt(np.maximum(p.sum(axis=1), 1))[:, None].astype(np.float32)
     turn = np.argsort(np.array([np.sum(y[:i] == y[i]) for i in range(len(y))]), kind="stable")
-    marks = p[turn[:LANDMARKS]]
+    marks = np.concatenate([m for m in _normed([texts[k] for k in turn[:LANDMARKS]])])
     kmm = (marks @ marks.T).astype(np.float64)
     val, vec = np.linalg.eigh(kmm)
     white = vec / np.sqrt(np.maximum(val, 1e-6))
-    phi = (p @ marks.T).astype(np.float64) @ white
+    phi = np.concatenate([m @ marks.T for m in _normed(texts)]).astype(np.float64) @ white
     target = np.where(y[:, None] == np.arange(len(names))[None, :], 1.0, -1.0)
     mean, t_mean = phi.mean(axis=0), target.mean(axis=0)
     a = phi - mean
