@@ -295,7 +295,7 @@ def plain_targets(sizes):
 def test_op6_targets_takes_and_reruns(spark, odd, empty):
     rng = np.random.default_rng(6)
     rows = [(k, " ".join(["w"] * int(rng.integers(0, 900))), "en", rng.choice(["a", "b", "c", "d", "big"], p=[0.02, 0.1, 0.2, 0.2, 0.48])) for k in range(400)]
-    rows += [(900, "w w", "en", None), (901, None, "en", "a")]
+    rows += [(900, "w w", "en", None), (901, None, "en", "a"), (950, "w w w", "en", "b"), (950, "w w w", "en", "b"), (950, "w", "en", "b")]
     docs = docs_df(spark, [(i, t, l, None if s is None else str(s)) for i, t, l, s in rows])
     got = mixing.mix(docs).collect()
     sizes = Counter()

@@ -54,8 +54,8 @@ def shuffle_width(spark: SparkSession) -> int:
 
 
 def fold_of(doc_id: Column, folds: int) -> Column:
-    """crc32 of the id's decimal text, modulo folds."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % folds
+    """crc32 of the id's decimal text, modulo folds; -1 for a null id, which so is in no held-out fold."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds, F.lit(-1))
 
 
 def ascii_lower(word: Column) -> Column:

@@ -8,7 +8,7 @@ when it has taken its target, its last block being cut; slots that the points le
 Targets: sources by code point, null last, weigh WEIGHTS in turn and share all sizes; a target above CAP times
 its source's size stops there and its excess is reshared by weight until none is above. Each pass sums over sources.
 
-Documents lie in a source's stream by the md5 of (SEED, doc_id, number among repeats): words up to a document are
+Documents lie in a source's stream by the md5 of (SEED, doc_id, size): words up to a document are
 a running sum in two levels, hash ranges of a source first, so that a source with most rows is spread over tasks.
 
 Cases: null, empty and blank texts have size 0 and take nothing; null is a source of its own; repeated doc_ids are
@@ -32,13 +32,12 @@ MARGIN_SLOTS = 64
 
 
 def sized(docs: DataFrame, base: str) -> DataFrame:
-    """(row, doc_id, source, size, place): place is the 128-bit shuffle key, as hex; stored."""
+    """(doc_id, source, size, place): place is the 128-bit shuffle key, as hex; stored."""
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     one = docs.select("doc_id", "source", size.alias("size"))
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "size"))
-    # Only repeats need a number; they are few, so the window runs on narrow rows.
-    key = F.concat_ws(":", F.lit(str(SEED)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("nth").cast("string"))
-    return stored(one.withColumn("nth", nth).select("doc_id", "source", "size", F.md5(key.cast("binary")).alias("place")), f"{base}/sized")
+    # Rows of one source that share id and size share a place and are interchangeable.
+    key = F.concat_ws(":", F.lit(str(SEED)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("size").cast("string"))
+    return stored(one.select("doc_id", "source", "size", F.md5(key.cast("binary")).alias("place")), f"{base}/sized")
 
 
 def targets(docs: DataFrame, base: str) -> DataFrame:
@@ -133,7 +132,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The schedule fills every quota, so a source's slots carry the words [0, quota) of its wrapped stream.
 OP6_SQL = r"""
 WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
-p AS (SELECT *, md5('42:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || row_number() OVER (PARTITION BY doc_id ORDER BY source NULLS FIRST, size)) AS place FROM d),
+p AS (SELECT *, md5('42:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || size) AS place FROM d),
 s AS (SELECT source, source_size, [5.0::DOUBLE, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source)),
 o AS (SELECT *, CAST(sum(source_size) OVER () AS BIGINT) AS total, coalesce(CAST(sum(3 * source_size) OVER before AS BIGINT), 0) AS capped, sum(w) OVER (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open,
              row_number() OVER (ORDER BY source_size / w, source NULLS LAST) AS k
