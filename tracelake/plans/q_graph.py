@@ -8,7 +8,7 @@ from ..operators import graph as G
 from ..operators import lineage as L
 from ..registry import RELATIONS, query
 from ..sources import fixtures as X
-from ..sources.store import shared_dir, stored
+from ..sources.store import shared_dir, staged, stored
 from .q_joins import live_edges, live_objects, pointers
 
 RELATIONS["fx_up"] = "SELECT node, min(depth) AS depth FROM (WITH RECURSIVE up(node, depth) AS (SELECT 's3' AS node, 0 AS depth UNION ALL SELECT e.parent_object_id, up.depth + 1 FROM up JOIN fx_edges e ON e.child_object_id = up.node) SELECT * FROM up) GROUP BY node"
@@ -115,8 +115,9 @@ def graph_issues(objects, edges, derivations):
 
 @query("graph_validate", "SELECT rule, id FROM fx_graph_issues")
 def graph_validate(spark, sf):
-    issues = graph_issues(live_objects(spark, sf), live_edges(spark, sf), X.derivations(spark, sf))
-    cycles = G.cycle_nodes(live_edges(spark, sf)).select(F.lit("cycle").alias("rule"), F.col("node").alias("id"))
+    o, e, d = staged(live_objects(spark, sf), live_edges(spark, sf), X.derivations(spark, sf))
+    issues = graph_issues(o, e, d)
+    cycles = G.cycle_nodes(e).select(F.lit("cycle").alias("rule"), F.col("node").alias("id"))
     return issues.union(cycles)
 
 

@@ -10,7 +10,7 @@ from ..operators import scan as N
 from ..registry import RELATIONS, query
 from ..sources import fixtures as X
 from ..sources import readers, sinks
-from ..sources.store import shared_dir, stored
+from ..sources.store import shared_dir, staged, stored
 from ..streaming import replay as ST
 from . import checks as V
 from .q_joins import bad_leaves, live_edges, live_objects
@@ -50,7 +50,7 @@ RELATIONS["fx_subset"] = "SELECT * FROM fx_chunk_map WHERE sequence % 3 = 0 OR s
 
 @query("verify_core", _core_sql("fail", "fx_bad_chunks", "fx_bad_leaves"))
 def verify_core(spark, sf):
-    return _report(V.core(bad_chunks(spark, sf), bad_leaves(spark, sf)))
+    return _report(V.core(*staged(bad_chunks(spark, sf), bad_leaves(spark, sf))))
 
 
 @query("verify_subset", _core_sql("warn", "fx_subset", "fx_leaves"))
@@ -100,12 +100,12 @@ def _graph_counts():
 @query("verify_objects", _rules(("object ids are unique", "SELECT 0"), ("hash status is known", "SELECT count(*) FROM fx_live_objects WHERE CAST(substr(object_id, 2) AS BIGINT) % 71 = 0"), ("files have a parent", "SELECT count(*) FROM fx_live_objects WHERE object_type = 'file' AND object_id NOT IN (SELECT child_object_id FROM fx_live_edges WHERE relation_type = 'contains')"), *_graph_counts()))
 def verify_objects(spark, sf):
     o = live_objects(spark, sf).withColumn("content_hash_status", F.when(F.substring("object_id", 2, 20).cast("long") % 71 == 0, "odd").otherwise("verified"))
-    return _report(V.objects(o, live_edges(spark, sf), X.derivations(spark, sf)))
+    return _report(V.objects(*staged(o, live_edges(spark, sf), X.derivations(spark, sf))))
 
 
 @query("verify_lineage", _rules(*_graph_counts(), ("derivations have an edge", "SELECT count(*) FROM fx_graph_issues WHERE rule = 'derivation_without_edge'"), ("derivation hashes", "SELECT count(*) FROM fx_derivations d JOIN fx_live_objects o ON o.object_id = parent_object_id WHERE input_sha256 <> o.sha256"), ("derivation hashes are given", "SELECT (SELECT count(*) FROM fx_derivations d LEFT JOIN fx_live_objects o ON o.object_id = parent_object_id WHERE input_sha256 IS NULL OR o.sha256 IS NULL) + (SELECT count(*) FROM fx_derivations d LEFT JOIN fx_live_objects o ON o.object_id = child_object_id WHERE o.sha256 IS NULL)", "warn")))
 def verify_lineage(spark, sf):
-    return _report(V.lineage(live_objects(spark, sf), live_edges(spark, sf), X.derivations(spark, sf)))
+    return _report(V.lineage(*staged(live_objects(spark, sf), live_edges(spark, sf), X.derivations(spark, sf))))
 
 
 @query("verify_parallel", _rules(*[(k.replace("_", " "), f"SELECT count(*) FROM fx_shard_issues WHERE kind = '{k}'") for k in ("missing_shard_manifest", "missing_result", "scope_hash_mismatch", "artifact_unreadable", "artifact_hash_mismatch", "duplicate_input")]))
@@ -133,14 +133,14 @@ def verify_legacy(spark, sf):
 
 @query("report_json", "SELECT 'fail' AS overall_status, CAST(6 AS BIGINT) AS checks")
 def report_json(spark, sf):
-    c = V.report(V.core(bad_chunks(spark, sf), bad_leaves(spark, sf))).withColumn("message", F.coalesce("example", F.lit("")))
+    c = V.report(V.core(*staged(bad_chunks(spark, sf), bad_leaves(spark, sf)))).withColumn("message", F.coalesce("example", F.lit("")))
     d = sinks.report_json(c)
     return d.select(F.get_json_object("document", "$.overall_status").alias("overall_status"), F.size(F.from_json(F.get_json_object("document", "$.checks"), "array<struct<id:string>>")).cast("long").alias("checks"))
 
 
 @query("report_md", "SELECT CAST(8 AS BIGINT) AS lines")
 def report_md(spark, sf):
-    c = V.report(V.core(bad_chunks(spark, sf), bad_leaves(spark, sf))).withColumn("message", F.coalesce("example", F.lit("")))
+    c = V.report(V.core(*staged(bad_chunks(spark, sf), bad_leaves(spark, sf)))).withColumn("message", F.coalesce("example", F.lit("")))
     return spark.createDataFrame([(len(sinks.report_markdown(c).strip().split("\n")),)], "lines long")
 
 

@@ -21,3 +21,9 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     """df written as Parquet and read again."""
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def staged(*frames: DataFrame) -> list[DataFrame]:
+    """Frames that several rules read, each written once, so that their joins and hashes are not made again for every rule."""
+    base = shared_dir(frames[0].sparkSession)
+    return [stored(df, f"{base}/{k}") for k, df in enumerate(frames)]
