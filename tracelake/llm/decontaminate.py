@@ -12,7 +12,7 @@ Skew: no list is ever gathered; the joins on a term broadcast the test side, up
 that are sort-merge joins that Spark splits; intersections group by (document, window, start).
 
 Cases: null or empty texts have no words; items without words have no windows; repeated doc_ids are
-documents of their own (an internal row number tells them apart); repeated items count once for each item_id; empty tables give
+documents of their own (an internal row number tells them apart); repeated items count once for each item_id, items without id hit words but are not counted; empty tables give
 no rows, or no hits; other columns are ignored.
 """
 

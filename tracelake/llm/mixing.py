@@ -27,7 +27,7 @@ WEIGHTS, CAP, BLOCK, SEED = (5, 2, 1), 3, 1024, 42
 #: 2^32 divided by the golden ratio, odd.
 PHI, POINTS = 2654435769, 1 << 32
 #: Slots whose ranks one task counts at once; hash ranges a source's stream is cut into.
-SLOT_RANGE, STREAM_RANGES = 65_536, 256
+SLOT_RANGE, STREAM_RANGES = 65_536, 4096
 MARGIN_SLOTS = 64
 
 
@@ -90,7 +90,7 @@ def schedule(spark: SparkSession, goals: DataFrame, base: str) -> DataFrame:
 
 def streams(docs: DataFrame) -> DataFrame:
     """docs with `at`: words of the source before the document in its shuffled stream."""
-    part = F.conv(F.substring("place", 1, 2), 16, 10).cast("int") % STREAM_RANGES
+    part = F.conv(F.substring("place", 1, 3), 16, 10).cast("int") % STREAM_RANGES
     cut = docs.withColumn("part", part)
     sums = cut.groupBy("source", "part").agg(F.sum("size").alias("n"))
     w = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -12,7 +12,7 @@ Equal vectors are one class first, with a count. A cell emits link counts and a
 Candidates come from float32 products with a margin; cosines in double precision decide.
 
 Cases: null vectors, zero vectors, and vectors with null or non-finite components link with nothing and are their own
-component; vectors of different lengths do not link; repeated rows are vectors of their own with links to
+component; rows without vec_id link with nothing and have no component; vectors of different lengths do not link; repeated rows are vectors of their own with links to
 each other; an empty table gives no rows; other columns are ignored.
 """
 
@@ -170,7 +170,8 @@ def near_vectors(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     named = own.join(per, "cid").where("embedding IS NOT NULL")
     out = vectors.select("vec_id", "embedding").join(named, "embedding", "left")
     comp = F.coalesce("component", F.col("vec_id").cast("long"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), (F.col("vec_id") == comp).alias("kept"))
+    n_links = F.when(F.col("vec_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0)))
+    return out.select("vec_id", n_links.cast("long").alias("n_links"), comp.alias("component_id"), F.coalesce(F.col("vec_id") == comp, F.lit(False)).alias("kept"))
 
 
 def op3_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
