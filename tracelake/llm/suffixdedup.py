@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import drop_path, release, shared_dir, shuffle_width, small_batches, stored, table
 
-LENGTH, GRAM = 400, 64
+LENGTH, GRAM = 400, 128
 #: Bytes that are sorted together; runs of one gram beyond which it is dealt out anew, and by so many offsets each time.
 SORT_BYTES, HOT, FINER = 2 << 20, 4000, (22, 1)
 #: Starts that one step of the anchor search covers: places take 24 bits beside 40 of the hash.
