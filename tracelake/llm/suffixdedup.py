@@ -36,7 +36,7 @@ from .common import drop_path, release, shared_dir, shuffle_width, small_batches
 
 LENGTH, GRAM = 400, 128
 #: Bytes that are sorted together; runs of one gram beyond which it is dealt out anew, and by so many offsets each time.
-SORT_BYTES, HOT, FINER = 2 << 20, 4000, (22, 1)
+SORT_BYTES, HOT, FINER = 1 << 20, 2000, (22, 1)
 #: Starts that one step of the anchor search covers: places take 24 bits beside 40 of the hash.
 STEP = 1 << 20
 _MUL, _ADD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -222,7 +222,8 @@ def find_runs(texts: DataFrame, base: str) -> DataFrame:
     # A whole text that repeats is one text here, so a gram that only its copies hold counts once, and needs no search: the copies go whole.
     found = texts.where(F.octet_length("text") >= LENGTH).select("tid", "text").mapInArrow(search, "tid string, key long, first long, starts long, off long")
     found = stored(found, f"{base}/anchors")
-    again = found.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+    # Written first: joined straight after the count, both sides would keep its partitioning, and Spark could not split a frequent gram.
+    again = stored(found.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), f"{base}/again")
     lists = found.join(again, "key", "left_semi").groupBy("tid").agg(F.collect_list(F.struct("key", "first", "starts", "off")).alias("runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
