@@ -507,3 +507,12 @@ def test_pipeline_against_plain(spark, sf):
         assert abs(r.target - want[src[r.doc_id]]) < 1e-6
         taken[src[r.doc_id]] += r.taken
     assert all(abs(taken[s] - want[s]) <= 1 for s in want)
+
+
+def test_pipeline_drops_documents_with_one_item(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "k l m n o p q r s t")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = docs_df(spark, [(1, "x a b c d e f g h y", "en", "s"), (2, "a b c d x e f g h i", "en", "s"), (3, None, "en", "s")])
+    left = corpus_pipeline.decontaminated(spark, docs, str(tmp_path))
+    assert sorted(r.doc_id for r in left.collect()) == [2, 3] and left.columns == docs.columns
