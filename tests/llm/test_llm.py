@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tracelake.llm import common, decontaminate, langid, lmscore, mixing, pii, queries, simhash, suffixdedup, toxicity, urlfilter, vectors
+from tracelake.llm import common, decontaminate, jaccard, langid, lmscore, mixing, pii, queries, simhash, suffixdedup, toxicity, urlfilter, vectors
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id long, fp long, row long, key string, size string, tid string"
 
@@ -516,3 +516,47 @@ def test_pipeline_drops_documents_with_one_item(spark, tmp_path):
     docs = docs_df(spark, [(1, "x a b c d e f g h y", "en", "s"), (2, "a b c d x e f g h i", "en", "s"), (3, None, "en", "s")])
     left = corpus_pipeline.decontaminated(spark, docs, str(tmp_path))
     assert sorted(r.doc_id for r in left.collect()) == [2, 3] and left.columns == docs.columns
+
+
+@pytest.mark.parametrize("common_over", [50, 3])
+def test_jaccard_brute_force_and_cases(spark, common_over, monkeypatch, empty):
+    import corpus_pipeline
+
+    monkeypatch.setattr(jaccard, "COMMON", common_over)
+    rng = np.random.default_rng(11)
+    rows, line = list(ODD), "this very line is in most of the texts of this table".split()
+    for k in range(40):
+        words = [f"w{x}" for x in rng.integers(0, 400, int(rng.integers(3, 120)))]
+        rows.append((100 + 10 * k, " ".join(words + line * (k % 3 > 0)), "en", "s"))
+        for j in range(1, int(rng.integers(1, 6))):
+            if len(words) > 20:
+                for at in rng.integers(0, len(words), int(rng.integers(1, 3))):
+                    words[at] = "other"
+            rows.append((100 + 10 * k + j, " ".join(words + line * (k % 3 > 0)), "en", "s"))
+
+    def grams(t):
+        w = (t or "").encode().lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, root = [grams(r[1]) for r in rows], list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    far = 0
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                far += (plain_simhash(rows[a][1]) ^ plain_simhash(rows[b][1])).bit_count() > 4
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    low = {}
+    for k, r in enumerate(rows):
+        low[find(k)] = min(low.get(find(k), r[0]), r[0])
+    want = sorted((r[0], low[find(k)]) for k, r in enumerate(rows))
+    docs = docs_df(spark, rows)
+    assert far and sorted((r.id, r.component) for r in jaccard.near_duplicates(docs).collect()) == want
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == sorted(set(low.values()))
+    assert jaccard.near_duplicates(empty).count() == 0
