@@ -270,3 +270,11 @@ def test_tokens(spark):
     good, old = make_token({"exp": 100, "sub": "u"}, "k"), make_token({"exp": 1}, "k")
     df = spark.createDataFrame([(good,), (old,), (good[:-1] + ("A" if good[-1] != "A" else "B"),), ("junk",)], "t string")
     assert [r.x for r in df.select(token_claims("t", F.lit("k"), F.lit(50)).alias("x")).collect()] == ["ok", "expired", "bad_signature", "malformed"]
+
+
+def test_tree_and_paths_have_no_depth_cap(spark):
+    chain = edges_df(spark, [(f"n{k}", f"n{k + 1}") for k in range(36)])
+    got = graph.tree(chain, spark.createDataFrame([("n0",)], "node string"))
+    assert sorted(r.depth for r in got.collect()) == list(range(37))
+    loop = spark.createDataFrame([(1, 5, "a"), (2, 1, "b"), (1, 2, "a")], "id long, parent long, name string")
+    assert {r.path for r in graph.paths(loop, 5).collect()} == {"\\a", "\\a\\b"}

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.store import shared_dir, stored
 
-#: Longest chain that a closure follows.
+#: Longest chain of point lookups that lineage_path follows.
 MAX_DEPTH = 256
 
 
-def closure(edges: DataFrame, start: DataFrame, up: bool = False, max_depth: int = MAX_DEPTH) -> DataFrame:
+def closure(edges: DataFrame, start: DataFrame, up: bool = False) -> DataFrame:
     """(node, depth): nodes reachable from start (column node), with the shortest distance; cycles are safe.
 
     Each round joins the frontier, not the visited set, with the edges and is written to the shared folder.
@@ -22,13 +24,12 @@ def closure(edges: DataFrame, start: DataFrame, up: bool = False, max_depth: int
     step = stored(edges.select(F.col(src).alias("node"), F.col(dst).alias("to")), f"{base}/edges")
     front = stored(start.select("node").distinct().withColumn("depth", F.lit(0)), f"{base}/d0")
     seen = front
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         nxt = front.join(step, "node").select(F.col("to").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
         front = stored(nxt.withColumn("depth", F.lit(depth)), f"{base}/d{depth}")
         if not front.limit(1).count():
             return seen
         seen = spark.read.schema(front.schema).parquet(*[f"{base}/d{k}" for k in range(depth + 1)])
-    return seen
 
 
 def max_depth(objects: DataFrame, edges: DataFrame) -> DataFrame:
@@ -85,17 +86,19 @@ def cycle_nodes(edges: DataFrame) -> DataFrame:
     return seen.where("src = node").select("node").distinct()
 
 
-def paths(entries: DataFrame, root: int, max_depth_: int = MAX_DEPTH) -> DataFrame:
-    """(id, path): full paths of (id, parent, name) below a root; entries that do not reach it get `[orphan]\\name`."""
+def paths(entries: DataFrame, root: int) -> DataFrame:
+    """(id, path): full paths of (id, parent, name) below a root; entries that do not reach it get `[orphan]\\name`.
+
+    An id is not entered twice on a path: repeated ids can lie on a cycle below the root."""
     spark = entries.sparkSession
     base = shared_dir(spark)
     e = stored(entries.select("id", "parent", "name"), f"{base}/entries").where(F.col("id") != root)
-    front = stored(e.where(F.col("parent") == root).select("id", F.concat(F.lit("\\"), "name").alias("path")), f"{base}/0")
+    front = stored(e.where(F.col("parent") == root).select("id", F.concat(F.lit("\\"), "name").alias("path"), F.array("id").alias("trail")), f"{base}/0")
     k = 0
-    while front.limit(1).count() and k < max_depth_:
+    while front.limit(1).count():
         k += 1
-        below = e.select("id", F.col("parent").alias("up"), "name").join(front.select(F.col("id").alias("up"), "path"), "up")
-        front = stored(below.select("id", F.concat("path", F.lit("\\"), "name").alias("path")), f"{base}/{k}")
+        below = e.select("id", F.col("parent").alias("up"), "name").join(front.select(F.col("id").alias("up"), "path", "trail"), "up").where(~F.array_contains("trail", F.col("id")))
+        front = stored(below.select("id", F.concat("path", F.lit("\\"), "name").alias("path"), F.array_append("trail", F.col("id")).alias("trail")), f"{base}/{k}")
     full = spark.read.schema("id long, path string").parquet(*[f"{base}/{i}" for i in range(k + 1)])
     return e.join(full, "id", "left").select("id", F.coalesce("path", F.concat(F.lit("[orphan]\\"), "name")).alias("path"))
 
@@ -117,14 +120,14 @@ def lineage_path(parents: DataFrame, node: str, max_depth_: int = MAX_DEPTH) ->
     return out[::-1]
 
 
-def tree(edges: DataFrame, roots: DataFrame, max_depth_: int = 32) -> DataFrame:
+def tree(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, node, depth, path) of everything below the roots (column node); a node is not entered twice on a path."""
     spark = edges.sparkSession
     base = shared_dir(spark)
     step = stored(edges.select(F.col("parent_object_id").alias("node"), F.col("child_object_id").alias("to")), f"{base}/edges")
     front = stored(roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth"), F.col("node").alias("path")), f"{base}/0")
     k = 0
-    while k < max_depth_ and front.limit(1).count():
+    while front.limit(1).count():
         k += 1
         bars = lambda c: F.concat(F.lit("/"), c, F.lit("/"))
         nxt = front.join(step, "node").where(F.instr(bars(F.col("path")), bars(F.col("to"))) == 0)
