@@ -457,6 +457,15 @@ def test_op10_code_is_complete():
         assert abs(sum(2.0 ** -float(x) for x in lens) - 1) < 1e-9
 
 
+def test_op10_weights_step_after_every_segment(monkeypatch):
+    code, lens, plain = lmscore.fit_code([b"hello world"]), [], lmscore.bits_of
+    tables = [np.zeros(-(-n // lmscore.CHUNK) * lmscore.CHUNK, dtype=np.int16) for n in lmscore.SLOTS]
+    none = np.zeros(0, dtype=np.int64)
+    monkeypatch.setattr(lmscore, "bits_of", lambda code, sym, ctx: lens.append(len(sym)) or plain(code, sym, ctx))
+    lmscore.Model(code, tables, lmscore.Mixer(), (none, none.astype(float)), 0, 0).log2([b"hello " * 3500])
+    assert max(lens) <= 512 and sum(lens) == 21_001
+
+
 def test_op10_learns(spark):
     sf = "/root/testdata/sf0.01"
     rows = lmscore.op10_lmscore(spark, sf).where("held_out").collect()
