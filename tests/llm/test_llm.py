@@ -263,6 +263,22 @@ def plain_dedup(texts, length):
     return out
 
 
+def plain_shared_words(texts, n=51):
+    ws = [(t or "").encode().split() for t in texts]
+    holders = {}
+    for k, w in enumerate(ws):
+        for i in range(len(w) - n + 1):
+            holders.setdefault(tuple(w[i : i + n]), set()).add(k)
+    out = []
+    for w in ws:
+        hit = np.zeros(len(w), bool)
+        for i in range(len(w) - n + 1):
+            if len(holders[tuple(w[i : i + n])]) > 1:
+                hit[i : i + n] = True
+        out.append(int(hit.sum()))
+    return out
+
+
 @pytest.mark.parametrize("hot", [4000, 1])
 def test_op5_brute_force_and_cases(spark, monkeypatch, hot, empty):
     monkeypatch.setattr(suffixdedup, "HOT", hot)
@@ -270,9 +286,13 @@ def test_op5_brute_force_and_cases(spark, monkeypatch, hot, empty):
     word = lambda n: " ".join("".join(map(chr, rng.integers(97, 123, rng.integers(2, 9)))) for _ in range(n))
     shared, other = word(120), word(90) + " é ü "
     texts = [None, "", "short", "short", word(300), word(30) + shared + word(40), word(10) + shared, shared[3:500] + word(20), "z" * 1300, shared + other, other + shared + other, word(200), "ab" * 900, "x" * 399, "x" * 399, "y" * 400, "y" * 400]
+    brief = [" ".join("ab"[int(x)] for x in rng.integers(0, 2, 51)) for _ in range(2)]
+    texts += [word(60) + "\n" + brief[0] + " " + word(30), brief[0].replace(" ", "  ") + " end", brief[1], (word(20) + " ") * 8, " ".join([brief[1]] * 3), brief[1] + "x"]
     docs = docs_df(spark, [(k, t, "en", "s") for k, t in enumerate(texts)])
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixdedup.deduplicate(docs).collect()}
+    rows = suffixdedup.deduplicate(docs).collect()
+    got, shared_words = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows}, {r.doc_id: r.n_shared_words for r in rows}
     assert [got[k] for k in range(len(texts))] == plain_dedup(texts, 400)
+    assert [shared_words[k] for k in range(len(texts))] == plain_shared_words(texts) and any(0 < x < 120 for x in shared_words.values())
     assert suffixdedup.deduplicate(empty).count() == 0
 
 

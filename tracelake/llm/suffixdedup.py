@@ -16,8 +16,11 @@ LENGTH-byte prefixes of neighbours. To sort in parallel, the text is dealt into
 
 Equal texts are one text with a count from the beginning; a text of LENGTH bytes or more with copies is removed whole.
 
+The same steps run over a second unit, words (runs of bytes other than the six ASCII spaces, each as its 64-bit hash): passages of over
+50 words that another document also holds, whatever their bytes. They are counted, not removed. A key's lowest bit names its unit.
+
 Cases: null texts are empty; a text shorter than LENGTH loses nothing; repeated rows are copies of each other, repeated doc_ids with different
-texts are different documents; an empty table gives no rows; other columns are ignored. Kept bytes may split a
+texts are different documents; copies share all words of a text of over 50; an empty table gives no rows; other columns are ignored. Kept bytes may split a
 UTF-8 character: they are returned as binary by kept_bytes() and hashed as bytes.
 """
 
@@ -26,6 +29,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +38,22 @@ from pyspark.sql import functions as F
 
 from .common import drop_path, release, shared_dir, shuffle_width, small_batches, stored, table
 
-LENGTH, GRAM = 400, 128
-#: Bytes that are sorted together; runs of one gram beyond which it is dealt out anew, and by so many offsets each time.
-SORT_BYTES, HOT, FINER = 1 << 20, 2000, (22, 1)
+class Unit(NamedTuple):
+    """length: symbols that a repeated string has at least; gram: symbols of an anchor; size: bytes of a symbol; finer: offsets that a
+    frequent gram is dealt out anew by, each time."""
+
+    length: int
+    gram: int
+    size: int
+    finer: tuple[int, ...]
+
+
+BYTES, WORDS = Unit(400, 128, 1, (22, 1)), Unit(51, 17, 8, (3, 1))
+UNITS, LENGTH = (BYTES, WORDS), BYTES.length
+#: Symbols that are sorted together; runs of one gram beyond which it is dealt out anew.
+SORT_BYTES, HOT = 1 << 20, 2000
+#: A text of fewer bytes has neither LENGTH bytes nor words enough.
+SHORTEST = min(LENGTH, 2 * WORDS.length - 1)
 #: Starts that one step of the anchor search covers: places take 24 bits beside 40 of the hash.
 STEP = 1 << 20
 _MUL, _ADD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -62,7 +79,7 @@ class Rolling:
             np.multiply.accumulate(arr, out=arr)
 
     def __call__(self, data: np.ndarray) -> np.ndarray:
-        """data: uint8, width bytes at least; a mixed 64-bit hash for each start."""
+        """data: unsigned integers, width at least; a mixed 64-bit hash for each start."""
         self._grow(len(data) + 1)
         s = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[: len(data)], out=s[1:])
@@ -74,13 +91,42 @@ class Rolling:
         return h
 
 
-def anchors(rolling: Rolling, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    def spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A mixed 64-bit hash of each of the ordered, disjoint byte ranges."""
+        out, i = np.empty(len(starts), np.uint64), 0
+        while i < len(starts):
+            j = max(i + 1, int(np.searchsorted(ends, starts[i] + STEP, "right")))
+            lo, part = starts[i], data[starts[i] : ends[j - 1]]
+            self._grow(len(part) + 1)
+            s = np.zeros(len(part) + 1, dtype=np.uint64)
+            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * self.up[: len(part)], out=s[1:])
+            h = (s[ends[i:j] - lo] - s[starts[i:j] - lo]) * self.down[starts[i:j] - lo]
+            h ^= h >> np.uint64(32)
+            h *= _ADD
+            out[i:j] = h ^ (h >> np.uint64(29))
+            i = j
+        return out
+
+
+_SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+
+
+def word_hashes(rolling: Rolling, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all texts as hashes, and the offsets of each text's."""
+    space, border = _SPACE[data], np.zeros(len(data) + 1, dtype=bool)
+    border[offsets] = True
+    starts = np.flatnonzero(~space & (border[:-1] | np.concatenate(([True], space[:-1]))))
+    ends = np.flatnonzero(~space & (border[1:] | np.concatenate((space[1:], [True])))) + 1
+    return rolling.spans(data, starts, ends), np.searchsorted(starts, offsets)
+
+
+def anchors(rolling: Rolling, data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     """Runs of all texts: (text, first start, starts, place of the anchor, hash of its gram); starts and places within the text."""
-    window = LENGTH - rolling.width + 1
+    window = length - rolling.width + 1
     out = []
     for lo in range(0, len(data), STEP):
-        part = data[lo : lo + STEP + LENGTH - 1]
-        if len(part) < LENGTH:
+        part = data[lo : lo + STEP + length - 1]
+        if len(part) < length:
             break
         h = rolling(part)
         low = (h & ~np.uint64(0xFFFFFF)) | np.arange(len(h), dtype=np.uint64)
@@ -93,7 +139,7 @@ def anchors(rolling: Rolling, data: np.ndarray, offsets: np.ndarray) -> tuple[np
         place = (low & np.uint64(0xFFFFFF)).astype(np.int64)
         start = np.arange(lo, lo + n)
         text = np.searchsorted(offsets, start, "right") - 1 if len(offsets) > 2 else np.zeros(n, np.int64)
-        ok = start + LENGTH <= offsets[text + 1]
+        ok = start + length <= offsets[text + 1]
         edge = np.empty(n, dtype=bool)
         edge[0] = True
         edge[1:] = (place[1:] != place[:-1]) | (ok[1:] != ok[:-1]) | (text[1:] != text[:-1])
@@ -161,30 +207,48 @@ def suffix_order(t: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated_starts(texts: list[bytes], counts: list[int]) -> list[np.ndarray]:
-    """For each distinct run text whether each of its len - LENGTH + 1 starts begins a repeated string."""
-    sizes = np.array([len(t) + 1 for t in texts])
+def repeated_starts(texts: list[bytes], marks: list[tuple[int, int, int]], unit: Unit = BYTES) -> list[np.ndarray]:
+    """For each distinct run text whether each of its n - length + 1 starts begins a repeated string. marks: (occurrences, least and
+    greatest document). Of words, a string is repeated only if two documents hold it."""
+    length = unit.length
+    sizes = np.array([len(t) // unit.size + 1 for t in texts])
     offsets = np.concatenate(([0], np.cumsum(sizes)))
-    joined = np.frombuffer(b"\0".join(texts) + b"\0", dtype=np.uint8)
-    seq = joined.astype(np.int64) + 1
-    seq[offsets[1:] - 1] = 257
+    if unit == BYTES:
+        seq = np.frombuffer(b"\0".join(texts) + b"\0", dtype=np.uint8).astype(np.int64) + 1
+    else:
+        pad = bytes(unit.size)
+        seq = np.unique(np.frombuffer(pad.join(texts) + pad, dtype=np.int64), return_inverse=True)[1].reshape(-1) + 1
+    seq[offsets[1:] - 1] = seq.max() + 1
     order = suffix_order(seq)
     own = np.repeat(np.arange(len(texts)), sizes)
-    order = order[order + LENGTH <= offsets[own[order] + 1] - 1]
-    # Adjacent prefixes, eight bytes at a time; what differs drops out.
-    padded = np.concatenate((joined, np.zeros(8, np.uint8)))
-    eight = np.lib.stride_tricks.as_strided(padded, (len(joined) + 1, 8), (1, 1))
+    order = order[order + length <= offsets[own[order] + 1] - 1]
+    # Adjacent prefixes, the last symbols first, then from the front; what differs drops out.
     a, b = order[:-1], order[1:]
     live = np.arange(len(a))
-    for k in (LENGTH - 8, *range(0, LENGTH - 8, 8)):
-        x, y = eight[a[live] + k].view(np.uint64)[:, 0], eight[b[live] + k].view(np.uint64)[:, 0]
-        live = live[x == y]
+    if unit == BYTES:
+        padded = np.concatenate(((seq - 1).astype(np.uint8), np.zeros(8, np.uint8)))
+        eight = np.lib.stride_tricks.as_strided(padded, (len(seq) + 1, 8), (1, 1))
+        at, steps = (lambda i: eight[i].view(np.uint64)[:, 0]), (length - 8, *range(0, length - 8, 8))
+    else:
+        at, steps = (lambda i: seq[i]), (length - 1, *range(length - 1))
+    for k in steps:
+        live = live[at(a[live] + k) == at(b[live] + k)]
         if not len(live):
             break
     hit = np.zeros(len(seq), dtype=bool)
-    hit[a[live]] = True
-    hit[b[live]] = True
-    return [np.ones(sizes[k] - LENGTH, bool) if c > 1 else hit[offsets[k] : offsets[k] + sizes[k] - LENGTH] for k, c in enumerate(counts)]
+    if unit == BYTES:
+        hit[a[live]] = True
+        hit[b[live]] = True
+        whole = [c > 1 for c, _, _ in marks]
+    else:
+        fresh = np.ones(len(order), dtype=bool)
+        fresh[live + 1] = False
+        if len(order):
+            heads, low, high = np.flatnonzero(fresh), np.array([m[1] for m in marks]), np.array([m[2] for m in marks])
+            many = np.minimum.reduceat(low[own[order]], heads) != np.maximum.reduceat(high[own[order]], heads)
+            hit[order[np.repeat(many, np.diff(np.append(heads, len(order))))]] = True
+        whole = [low != high for _, low, high in marks]
+    return [np.ones(sizes[k] - length, bool) if w else hit[offsets[k] : offsets[k] + sizes[k] - length] for k, w in enumerate(whole)]
 
 
 def _buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -213,26 +277,33 @@ def find_runs(texts: DataFrame, base: str) -> DataFrame:
     spark = texts.sparkSession
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling = Rolling(GRAM)
+        rolling, words = Rolling(BYTES.gram), Rolling(WORDS.gram)
         for b in batches:
             data, offsets = _buffers(b.column(1))
-            t, first, starts, place, key = anchors(rolling, data, offsets)
+            found = [anchors(rolling, data, offsets), anchors(words, *word_hashes(rolling, data, offsets), WORDS.length)]
+            t, first, starts, place = (np.concatenate([f[k] for f in found]) for k in range(4))
+            key = np.concatenate([f[4] & ~1 | k for k, f in enumerate(found)])
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(t)), pa.array(key), pa.array(first), pa.array(starts), pa.array(place - first)], names=["tid", "key", "first", "starts", "off"])
 
     # A whole text that repeats is one text here, so a gram that only its copies hold counts once, and needs no search: the copies go whole.
-    found = texts.where(F.octet_length("text") >= LENGTH).select("tid", "text").mapInArrow(search, "tid string, key long, first long, starts long, off long")
+    found = texts.where(F.octet_length("text") >= SHORTEST).select("tid", "text").mapInArrow(search, "tid string, key long, first long, starts long, off long")
     found = stored(found, f"{base}/anchors")
     # Written first: joined straight after the count, both sides would keep its partitioning, and Spark could not split a frequent gram.
     again = stored(found.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), f"{base}/again")
     lists = found.join(again, "key", "left_semi").groupBy("tid").agg(F.collect_list(F.struct("key", "first", "starts", "off")).alias("runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rolling = Rolling(BYTES.gram)
         for b in batches:
-            cols: list[list] = [[] for _ in range(8)]
+            cols: list[list] = [[] for _ in _KINDS]
             for tid, text, runs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                words, doc = None, int.from_bytes(bytes.fromhex(tid[:16]), "little", signed=True)
                 for r in runs:
-                    part = text[r["first"] : r["first"] + r["starts"] + LENGTH - 1]
-                    for c, v in zip(cols, (r["key"], _digest(part), tid, r["first"], r["starts"], r["off"], 1, part)):
+                    u = UNITS[r["key"] & 1]
+                    if u == WORDS and words is None:
+                        words = word_hashes(rolling, np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0].tobytes()
+                    part = (text if u == BYTES else words)[r["first"] * u.size : (r["first"] + r["starts"] + u.length - 1) * u.size]
+                    for c, v in zip(cols, (r["key"], _digest(part), tid, r["first"], r["starts"], r["off"], 1, doc, doc, part)):
                         c.append(v)
             yield _runs(cols)
 
@@ -240,36 +311,40 @@ def find_runs(texts: DataFrame, base: str) -> DataFrame:
     return stored(joined.mapInArrow(cut, _RUNS), f"{base}/runs")
 
 
-_RUNS = "key long, rh binary, owner string, first long, starts long, off long, c long, text binary"
+#: c: occurrences; low, high: least and greatest document that holds it; text: bytes, or words as eight bytes each.
+_RUNS = "key long, rh binary, owner string, first long, starts long, off long, c long, low long, high long, text binary"
+_KINDS = [pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
 
 def _runs(cols: list[list]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["key", "rh", "owner", "first", "starts", "off", "c", "text"])
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, _KINDS)], names=[f.split()[0] for f in _RUNS.split(", ")])
 
 
-def finer(each: DataFrame, width: int) -> DataFrame:
-    """Distinct runs cut by offset to the anchor, width of them at a time, under the hash of the slice and of the bytes that all
+def finer(each: DataFrame, level: int) -> DataFrame:
+    """Distinct runs cut by offset to the anchor, a few of them at a time, under the hash of the slice and of the symbols that all
     its strings share. The owner of a cut is the run it comes from."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: list[list] = [[] for _ in range(8)]
-            for key, owner, starts, off, c, text in zip(*(b.column(k).to_pylist() for k in range(6))):
+            cols: list[list] = [[] for _ in _KINDS]
+            for key, owner, starts, off, c, low, high, text in zip(*(b.column(k).to_pylist() for k in range(8))):
+                u = UNITS[key & 1]
+                width = u.finer[level]
                 # Start j of the run has offset off - j; slice q holds the offsets q * width .. q * width + width - 1.
                 j = 0
                 while j < starts:
                     q = (off - j) // width
                     last = min(starts - 1, off - q * width)
-                    core = text[off - q * width : off - q * width + LENGTH - width + 1]
-                    part = text[j : last + LENGTH]
+                    core = text[(off - q * width) * u.size : (off - q * width + u.length - width + 1) * u.size]
+                    part = text[j * u.size : (last + u.length) * u.size]
                     name = _digest(key.to_bytes(8, "little", signed=True) + q.to_bytes(4, "little") + core)
-                    for col, v in zip(cols, (int.from_bytes(name[:8], "little", signed=True), _digest(part), owner, j, last - j + 1, off - j, c, part)):
+                    fine = int.from_bytes(name[:8], "little", signed=True) & ~1 | key & 1
+                    for col, v in zip(cols, (fine, _digest(part), owner, j, last - j + 1, off - j, c, low, high, part)):
                         col.append(v)
                     j = last + 1
             yield _runs(cols)
 
-    return each.select("key", owner_of(), "starts", "off", "c", "text").mapInArrow(cut, _RUNS)
+    return each.select("key", owner_of(), "starts", "off", "c", "low", "high", "text").mapInArrow(cut, _RUNS)
 
 
 def owner_of():
@@ -278,14 +353,14 @@ def owner_of():
 
 
 def distinct_runs(runs: DataFrame) -> DataFrame:
-    """(key, rh, c, starts, off, text): equal run texts of a key as one row."""
-    return runs.groupBy("key", "rh").agg(F.sum("c").alias("c"), F.min("starts").alias("starts"), F.min("off").alias("off"), F.any_value("text").alias("text"))
+    """(key, rh, c, low, high, starts, off, text): equal run texts of a key as one row."""
+    return runs.groupBy("key", "rh").agg(F.sum("c").alias("c"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("starts").alias("starts"), F.min("off").alias("off"), F.any_value("text").alias("text"))
 
 
 def repeats(each: DataFrame) -> DataFrame:
     """(key, rh, lo, hi): ranges of repeated starts of each distinct run, by sorting suffixes of whole keys together."""
     spark = each.sparkSession
-    flow = each.select("key", "rh", "c", "text").repartition(shuffle_width(spark), "key").sortWithinPartitions("key")
+    flow = each.select("key", "rh", "c", "low", "high", "text").repartition(shuffle_width(spark), "key").sortWithinPartitions("key")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
@@ -293,22 +368,23 @@ def repeats(each: DataFrame) -> DataFrame:
         size = 0
 
         def solve() -> Iterator[pa.RecordBatch]:
-            if ready:
-                marks = repeated_starts([r[3] for r in ready], [r[2] for r in ready])
-                rows = []
-                for (key, rh, _, _), hit in zip(ready, marks):
-                    edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
-                    rows += [(key, rh, int(x), int(y)) for x, y in zip(edge[::2], edge[1::2])]
-                if rows:
-                    k, r, lo, hi = zip(*rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(r, pa.binary()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], names=["key", "rh", "lo", "hi"])
+            rows = []
+            for k, unit in enumerate(UNITS):
+                own = [r for r in ready if r[0] & 1 == k]
+                if own:
+                    for (key, rh, *_), hit in zip(own, repeated_starts([r[5] for r in own], [r[2:5] for r in own], unit)):
+                        edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
+                        rows += [(key, rh, int(x), int(y)) for x, y in zip(edge[::2], edge[1::2])]
+            if rows:
+                k, r, lo, hi = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(r, pa.binary()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], names=["key", "rh", "lo", "hi"])
 
         for b in batches:
-            for row in zip(*(b.column(k).to_pylist() for k in range(4))):
+            for row in zip(*(b.column(k).to_pylist() for k in range(6))):
                 if group and group[0][0] != row[0]:
                     if len(group) > 1 or group[0][2] > 1:
                         ready += group
-                        size += sum(len(r[3]) + 1 for r in group)
+                        size += sum(len(r[5]) // UNITS[r[0] & 1].size + 1 for r in group)
                     group = []
                     if size >= SORT_BYTES:
                         yield from solve()
@@ -322,7 +398,7 @@ def repeats(each: DataFrame) -> DataFrame:
 
 
 def covered(docs: DataFrame, base: str) -> tuple[str, DataFrame]:
-    """The table of distinct texts, and (tid, spans array<struct<a, b>>) of the bytes that repeated strings cover."""
+    """The table of distinct texts, and (tid, spans array<struct<unit, a, b>>) of the symbols that repeated strings cover."""
     spark = docs.sparkSession
     small_batches(spark, 512)
     texts = distinct_texts(docs, base)
@@ -330,35 +406,34 @@ def covered(docs: DataFrame, base: str) -> tuple[str, DataFrame]:
     runs = find_runs(spark.table(texts), base)
     release(spark)
     found = repeated_ranges(runs, base)
-    spans = found.select(F.col("owner").alias("tid"), F.col("lo").alias("a"), (F.col("hi") + LENGTH - 1).alias("b"))
-    spans = stored(spans.groupBy("tid").agg(F.collect_list(F.struct("a", "b")).alias("spans")), f"{base}/spans")
+    length = F.when(F.col("unit") == 0, BYTES.length).otherwise(WORDS.length)
+    spans = found.select(F.col("owner").alias("tid"), "unit", F.col("lo").alias("a"), (F.col("hi") + length - 1).alias("b"))
+    spans = stored(spans.groupBy("tid").agg(F.collect_list(F.struct("unit", "a", "b")).alias("spans")), f"{base}/spans")
     release(spark)
     return texts, spans
 
 
 def repeated_ranges(runs: DataFrame, base: str, level: int = 0) -> DataFrame:
-    """(owner, lo, hi): ranges of repeated starts within each owner."""
+    """(owner, unit, lo, hi): ranges of repeated starts within each owner."""
     each = stored(distinct_runs(runs), f"{base}/each{level}")
     found = None
-    if level < len(FINER):
+    if level < len(BYTES.finer):
         hot = stored(each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("key"), f"{base}/hot{level}")
         if hot.limit(1).count():
-            fine = stored(finer(each.join(hot, "key", "left_semi"), FINER[level]), f"{base}/finer{level}")
+            fine = stored(finer(each.join(hot, "key", "left_semi"), level), f"{base}/finer{level}")
             again = fine.groupBy("key").agg(F.sum("c").alias("n")).where("n > 1").select("key")
             inner = repeated_ranges(fine.join(again, "key", "left_semi").select(*fine.columns), base, level + 1)
-            found = each.select("key", "rh", owner_of()).join(inner, "owner").select("key", "rh", "lo", "hi")
+            found = each.select("key", "rh", owner_of()).join(inner.drop("unit"), "owner").select("key", "rh", "lo", "hi")
             each = each.join(hot, "key", "left_anti").select(*each.columns)
     cold = stored(repeats(each), f"{base}/repeats{level}")
     found = cold if found is None else found.unionByName(cold)
-    return runs.select("key", "rh", "owner", "first").join(found, ["key", "rh"]).select("owner", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi"))
+    return runs.select("key", "rh", "owner", "first").join(found, ["key", "rh"]).select("owner", F.col("key").bitwiseAND(F.lit(1)).alias("unit"), (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi"))
 
 
-def merged(spans: list[dict] | None, copies: int, size: int) -> list[tuple[int, int]]:
-    """Maximal removed runs of a text."""
-    if copies > 1 and size >= LENGTH:
-        return [(0, size)]
+def merged(spans: list[dict] | None, unit: int) -> list[tuple[int, int]]:
+    """Maximal covered runs of a text, in symbols of the unit."""
     out: list[list[int]] = []
-    for a, b in sorted((s["a"], s["b"]) for s in spans or ()):
+    for a, b in sorted((s["a"], s["b"]) for s in spans or () if s["unit"] == unit):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -375,28 +450,31 @@ def kept_of(text: bytes, removed: list[tuple[int, int]]) -> bytes:
 
 
 def deduplicate(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with with_bytes the kept bytes."""
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared_words (words inside passages of over 50 words that another
+    document also holds), and with with_bytes the kept bytes."""
     spark = docs.sparkSession
     base = shared_dir(spark)
     texts, spans = covered(docs, base)
-    fields = "tid string, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes
+    fields = "tid string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared_words long" + ", kept binary" * with_bytes
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for tid, copies, text, sp in zip(*(b.column(k).to_pylist() for k in range(4))):
-                removed = merged(sp, copies, len(text))
+                removed = [(0, len(text))] if copies > 1 and len(text) >= LENGTH else merged(sp, 0)
+                words = len(text.split()) if copies > 1 else 0
+                shared = words if words >= WORDS.length else sum(b - a for a, b in merged(sp, 1))
                 kept = kept_of(text, removed)
-                rows.append((tid, len(text), len(text) - len(kept), len(removed), hashlib.sha256(kept).hexdigest(), kept))
+                rows.append((tid, len(text), len(text) - len(kept), len(removed), hashlib.sha256(kept).hexdigest(), shared, kept))
             if rows:
-                cols = list(zip(*rows))[: 5 + with_bytes]
-                kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+                cols = list(zip(*rows))[: 6 + with_bytes]
+                kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[f.split()[0] for f in fields.split(", ")])
 
     per_text = spark.table(texts).join(spans, "tid", "left").select("tid", "copies", "text", "spans").mapInArrow(cut, fields)
     per_text = stored(per_text, f"{base}/kept")
     spark.sql(f"DROP TABLE {texts}")
-    for part in ("texts", "anchors", "runs", *[f"{name}{k}" for name in ("each", "finer") for k in range(len(FINER) + 1)]):
+    for part in ("texts", "anchors", "runs", *[f"{name}{k}" for name in ("each", "finer") for k in range(len(BYTES.finer) + 1)]):
         drop_path(spark, f"{base}/{part}")
     release(spark)
     ids = docs.select("doc_id", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("tid"))
