@@ -327,9 +327,24 @@ def test_op6_targets_takes_and_reruns(spark, odd, empty):
         s = by[r.doc_id]
         assert r.source_size == sizes[s] and abs(r.target - want[s]) < 1e-6 and 0 <= r.taken <= 3 * r.size
         taken[s] += r.taken
-    assert all(abs(taken[s] - want[s]) <= 1 for s in want) and len(got) == len(rows)
+    # Blocks of two words here: points keep sources within a few of them.
+    assert all(abs(taken[s] - want[s]) <= 12 for s in want) and len(got) == len(rows)
     assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix(docs).collect()))
     assert mixing.mix(empty).count() == 0 and mixing.mix(odd).count() == len(ODD)
+    words = mixing.mixture(docs).groupBy("doc_id").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("n")).collect()
+    per = Counter()
+    for r in got:
+        per[r.doc_id] += r.taken
+    assert {r.doc_id: r.n for r in words} == {k: n for k, n in per.items() if n}
+
+
+def test_op6_points_decide_what_is_taken(spark, monkeypatch):
+    """Another step that is not of low discrepancy misses the targets."""
+    docs = docs_df(spark, [(k, "w " * 700, "en", "abc"[k % 3]) for k in range(90)])
+    share = lambda: {r.target: r.n for r in mixing.mix(docs).groupBy("target").agg(F.sum("taken").alias("n")).collect()}
+    assert all(abs(n - t) <= 10 for t, n in share().items())
+    monkeypatch.setattr(mixing, "PHI", 3)
+    assert any(abs(n - t) > 1000 for t, n in share().items())
 
 
 def test_op6_schedule_is_even(spark, tmp_path):
@@ -342,9 +357,9 @@ def test_op6_schedule_is_even(spark, tmp_path):
         assert [r.nth for r in own] == list(range(len(own)))
         gaps = {b.slot - a.slot for a, b in zip(own, own[1:])}
         assert len(gaps) <= 3  # three-distance property of golden-ratio points
-    blocks = mixing.blocks(mixing.streams(mixing.sized(docs, base)))
-    per = blocks.groupBy("source", "block").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("n"))
-    assert per.where("n > 1024").count() == 0 and blocks.agg(F.sum(F.col("to_word") - F.col("from_word"))).first()[0] == 300_000
+    one = mixing.mixture(docs).groupBy("slot").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("n")).agg(F.min("n"), F.max("n"), F.sum("n")).first()
+    block = mixing.block_words(goals)[0]
+    assert one[1] == block and 0 < one[0] and abs(one[2] - 300_000) <= 20 * block
 
 
 # 7 ----------------------------------------------------------------------------------------------------------
@@ -535,7 +550,7 @@ def test_pipeline_against_plain(spark, sf):
     for r in got:
         assert abs(r.target - want[src[r.doc_id]]) < 1e-6
         taken[src[r.doc_id]] += r.taken
-    assert all(abs(taken[s] - want[s]) <= 1 for s in want)
+    assert all(abs(taken[s] - want[s]) <= 12 for s in want)
 
 
 def test_pipeline_drops_documents_with_one_item(spark, tmp_path):
