@@ -221,13 +221,17 @@ def test_op4_aliases_and_cases(spark):
         (1, "http://a.org/x", '<link rel="canonical" href="http://example.com/en/1">'), (2, "https://Example.com/en/1", ""), (3, "http://www.example.com/en/2", "<meta http-equiv='refresh' content='0; url=//example.com/en/1'>"),
         (4, "http://a.org/y/", "<link href=/x rel=canonical>"), (5, None, None), (6, "nope", "x"), (7, "http://example.com", ""), (8, "http://b.net/es/", "<link rel=canonical href='//q.org'>"), (9, "http://q.org/", None),
         (10, "http://sub.example.com:80/en/?q#f", ""), (10, "http://sub.example.com:80/en/?q#f", ""), (11, "http://notexample.com/en/", ""), (12, "http://x.com/en/", "<meta property='og:url' content='http://b.net/es'>"),
+        # Targets that are no pages: blocked, blocked by way of another alias, allowed by a rule; the page's own url with a slash; very long html, a name that joins use.
+        (13, "http://u.org/1", "<link rel=canonical href='http://absent.net/es/z'>"), (14, "http://u.org/2", "<link rel=canonical href='http://u.org/1'>"), (15, "http://u.org/3", "<link rel=canonical href='http://www.example.com/en/absent'>"),
+        (16, "http://v.net/es", "<link rel=canonical href='/es/'>"), (17, "http://w.org/", "<p>x</p>" * 50_000 + "<link rel=canonical href='http://absent.net/fr/'>"),
     ]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"host": F.lit("h"), "node": F.lit("n"), "rule": F.lit(1)})
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"host": F.lit("h"), "node": F.lit("n"), "rule": F.lit(1), "root": F.lit("r"), "own": F.lit("block"), "hit": F.lit(True)})
     got = sorted(((r.page_id, r.host, r.path, r.rule, r.verdict) for r in urlfilter.judge(df).collect()), key=str)
     assert got == sorted([
         (1, "a.org", "/x", None, "block"), (2, "example.com", "/en/1", "example.com/en/", "block"), (3, "www.example.com", "/en/2", "www.example.com/en/", "allow"), (4, "a.org", "/y/", None, "block"), (5, "", "", None, "allow"),
         (6, "", "", None, "allow"), (7, "example.com", "", None, "allow"), (8, "b.net", "/es/", "net/es/", "block"), (9, "q.org", "/", None, "block"), (10, "sub.example.com:80", "/en/", None, "allow"),
         (10, "sub.example.com:80", "/en/", None, "allow"), (11, "notexample.com", "/en/", "com/", "allow"), (12, "x.com", "/en/", "com/", "allow"),
+        (13, "u.org", "/1", None, "block"), (14, "u.org", "/2", None, "block"), (15, "u.org", "/3", None, "allow"), (16, "v.net", "/es", None, "block"), (17, "w.org", "/", None, "block"),
     ], key=str)
     assert urlfilter.judge(df.limit(0)).count() == 0
     import duckdb

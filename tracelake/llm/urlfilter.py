@@ -3,8 +3,8 @@
 Rules are (host, path) with a verdict; a rule fits its host and all subdomains where the url's path starts with its
 path, and the longest fitting rule wins. Pages that redirect to each other or name a canonical url are aliases:
 connected components over <meta http-equiv=refresh>, <link rel=canonical> and og:url edges between normalised urls.
-A component with a page that a rule blocks blocks its members that no rule decides; a rule's allow takes precedence
-on the pages it fits. All other pages are allowed.
+A component with a url that a rule blocks, be it of a page or only named as a target, blocks its members that no rule decides; a
+rule's allow takes precedence on the pages it fits. All other pages are allowed.
 
 Normalised url: host lower-cased, without default port; scheme, `#` part and a trailing slash of the path are not part of it.
 Relative targets are resolved against the page's host (leading slash) or folder.
@@ -71,8 +71,8 @@ def _attr(tag: Column, name: str) -> Column:
     return F.coalesce(*[F.nullif(F.regexp_extract(tag, _ATTR.format(name), k), F.lit("")) for k in (1, 2, 3)])
 
 
-def alias_edges(pages: DataFrame, base: str) -> DataFrame:
-    """(a, b): normalised urls of pages and of what they redirect to or call canonical; stored."""
+def alias_edges(pages: DataFrame, base: str, rules=RULES) -> tuple[DataFrame, DataFrame]:
+    """(a, b): normalised urls of pages and of what they redirect to or call canonical; (node): targets that a rule blocks; both stored."""
     html = F.coalesce("html", F.lit(""))
     tags = pages.where(F.col("url").contains("://") & html.rlike(r"(?i)canonical|refresh|og:url"))
     tags = tags.select("url", F.explode(F.regexp_extract_all(html, F.lit(r"(?is)(<(?:link|meta)\b[^>]*>)"), F.lit(1))).alias("tag"))
@@ -86,7 +86,10 @@ def alias_edges(pages: DataFrame, base: str) -> DataFrame:
     )
     found = stored(tags.select("url", F.replace(F.trim(to), F.lit("&amp;"), F.lit("&")).alias("to")).where("to <> ''"), f"{base}/targets")
     full = stored(found.select("url", _absolute(F.col("to"), F.col("url")).alias("to")), f"{base}/absolute")
-    return stored(full.select(normal(F.col("url")).alias("a"), normal(F.col("to")).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct(), f"{base}/edges")
+    named = stored(full.select(normal(F.col("url")).alias("a"), normal(F.col("to")).alias("b"), host_of(F.col("to")).alias("host"), path_of(F.col("to")).alias("path")).where("b IS NOT NULL"), f"{base}/named")
+    edges = stored(named.where("a IS NOT NULL AND a <> b").select("a", "b").distinct(), f"{base}/edges")
+    bad = named.where(rule_of(F.col("host"), F.col("path"), rules)[1] == "block").select(F.col("b").alias("node")).distinct()
+    return edges, stored(bad, f"{base}/bad")
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -94,11 +97,13 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     base = shared_dir(pages.sparkSession)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     seen = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).withColumn("rule", rule).withColumn("own", verdict)
-    roots = components(alias_edges(pages, base))
+    edges, bad = alias_edges(pages, base, rules)
+    roots = components(edges)
     # Urls without a key get one of their own, so that they do not meet in one task.
     keyed = seen.withColumn("node", F.coalesce(normal(F.col("url")), F.concat(F.lit("://"), F.col("page_id").cast("string"))))
     in_class = keyed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    blocked = in_class.where("own = 'block' AND root IS NOT NULL").select("root").distinct().withColumn("hit", F.lit(True))
+    targets = bad.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"))
+    blocked = in_class.where("own = 'block' AND root IS NOT NULL").select("root").union(targets).distinct().withColumn("hit", F.lit(True))
     out = in_class.join(blocked, "root", "left")
     alias = F.col("own").isNull() & F.coalesce("hit", F.lit(False))
     final = F.coalesce("own", F.when(alias, F.lit("block")).otherwise(F.lit("allow")))
@@ -135,6 +140,8 @@ base AS (SELECT url, x, regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) AS root,
 full_url AS (SELECT url, CASE WHEN regexp_matches(x, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN x WHEN starts_with(x, '//') THEN scheme || x WHEN starts_with(x, '/') THEN root || x WHEN ends_with(folder, '/') THEN folder || x ELSE folder || '/' || x END AS x FROM base),
 e AS (SELECT {_SQL_NORMAL.format("url")} AS a, {_SQL_NORMAL.format("x")} AS b FROM full_url),
 both_ways AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
-bad(node) AS (SELECT node FROM j WHERE own = 'block' UNION SELECT b FROM bad JOIN both_ways ON a = node)
+target AS (SELECT {_SQL_NORMAL.format("x")} AS node, {_SQL_HOST.format("x")} AS host, regexp_extract(x, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM full_url),
+seed AS (SELECT node FROM j WHERE own = 'block' UNION SELECT node FROM target WHERE {_SQL_RULE.format(*[f"'{v}'" for _, _, v in _SQL_CASES])} = 'block'),
+bad(node) AS (SELECT node FROM seed UNION SELECT b FROM bad JOIN both_ways ON a = node)
 SELECT page_id, host, path, rule, coalesce(own, CASE WHEN node IN (SELECT node FROM bad) THEN 'block' ELSE 'allow' END) AS verdict FROM j
 """
