@@ -12,7 +12,7 @@ from ..sources import fixtures as X
 from ..sources.store import shared_dir
 from .q_aggregates import report_counts
 from .q_graph import entries
-from .q_io import write_graph
+from .q_io import entries_of, write_graph
 
 
 def _nations(spark, sf, n):
@@ -204,20 +204,21 @@ def sink_correction_event(spark, sf):
     return readers.jsonl(spark, path, "event_id string, reason string")
 
 
-@query("sink_delta", "SELECT object_id, object_type FROM fx_deltas WHERE job_dir = 'job-1' AND line < 100000")
+@query("sink_delta", "SELECT object_id, object_type FROM fx_deltas")
 def sink_delta(spark, sf):
+    """Each job's delta is written once, below the job's own folder."""
     from .q_aggregates import deltas
 
-    root = shared_dir(spark)
-    rows = deltas(spark, sf).where("job_dir = 'job-1' AND line < 100000").select("object_id", "object_type")
-    path = sinks.write_once(rows, root, "job-1", "objects_delta.jsonl")
-    return readers.jsonl(spark, path, "object_id string, object_type string")
+    root, rows = shared_dir(spark), deltas(spark, sf)
+    for job in [r.job_dir for r in rows.select("job_dir").distinct().collect()]:  # as many as there are jobs
+        sinks.write_once(rows.where(F.col("job_dir") == job).select("object_id", "object_type"), root, job, "objects_delta.jsonl")
+    return readers.jsonl(spark, f"{root}/analysis/jobs/*/objects_delta.jsonl", "object_id string, object_type string")
 
 
-@query("sink_blob_dedup", "SELECT 'written' AS outcome, count(DISTINCT text) AS n FROM documents WHERE doc_id % 25 = 0 UNION ALL SELECT 'present', count(DISTINCT text) FROM documents WHERE doc_id % 25 = 0")
+@query("sink_blob_dedup", "SELECT 'written' AS outcome, count(DISTINCT text) AS n FROM documents UNION ALL SELECT 'present', count(DISTINCT text) FROM documents")
 def sink_blob_dedup(spark, sf):
     root = shared_dir(spark)
-    d = X.read(spark, sf, "documents").where("doc_id % 25 = 0").select(S.evidence_path(F.sha2("text", 256)).alias("path"), F.col("text").cast("binary").alias("content"))
+    d = X.read(spark, sf, "documents").select(S.evidence_path(F.sha2("text", 256)).alias("path"), F.col("text").cast("binary").alias("content"))
     counts = []
     for _ in range(2):
         counts += [(r.outcome, r["count"]) for r in sinks.store_blobs(d, root, "path", "content").groupBy("outcome").count().collect()]
@@ -227,15 +228,16 @@ def sink_blob_dedup(spark, sf):
 @query("sink_raw_export", "SELECT sha256(string_agg(n_name, '' ORDER BY n_nationkey)) AS digest FROM nation")
 def sink_raw_export(spark, sf):
     parts = X.read(spark, sf, "nation").select("n_nationkey", F.col("n_name").cast("binary").alias("c"))
-    path = packed.local(shared_dir(spark)) + "/export.raw"
+    path = shared_dir(spark) + "/export.raw"
     return spark.createDataFrame([(sinks.raw_export(parts, "n_nationkey", "c", path),)], "digest string")
 
 
-@query("pack", "SELECT 'docs/' || lpad(CAST(doc_id AS VARCHAR), 6, '0') || '.txt' AS path, 8 + CAST(coalesce(sum(octet_length(encode(text))) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset FROM documents WHERE doc_id < 50")
+@query("pack", "SELECT 'docs/' || lpad(CAST(doc_id AS VARCHAR), 12, '0') || '.txt' AS path, 8 + CAST(coalesce(sum(octet_length(encode(text))) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset FROM documents")
 def pack(spark, sf):
-    files = [(f"docs/{r.doc_id:06d}.txt", r.text.encode()) for r in X.read(spark, sf, "documents").where("doc_id < 50").select("doc_id", "text").collect()]
-    index = packed.write(packed.local(shared_dir(spark)) + "/a.pk", files)
-    return spark.createDataFrame([(e["path"], e["offset"]) for e in index["entries"]], "path string, offset long")
+    path = shared_dir(spark) + "/a.pk"
+    packed.write(path, entries_of(spark, sf))
+    spark.dataSource.register(packed.PackedSource)
+    return spark.read.format("packed_archive").load(path).select("path", "offset")
 
 
 @query("sink_json_atomic", "SELECT 'b' AS v")

@@ -136,7 +136,7 @@ def scan_ext_sets(spark, sf):
     return readers.extension_log(spark, root, "sets").select("set_id", "set_type", F.size("members.object_ids").cast("long").alias("members"))
 
 
-@query("scan_ext_decisions", "SELECT 'dec-' || doc_id AS decision_id, 'user' AS actor_type, 'obj-' || lpad(CAST(doc_id AS VARCHAR), 6, '0') AS target_id, CASE WHEN toxic = 1 THEN 'withheld' ELSE 'released' END AS outcome FROM labels")
+@query("scan_ext_decisions", "SELECT 'dec-' || doc_id AS decision_id, 'user' AS actor_type, 'obj-' || lpad(CAST(doc_id AS VARCHAR), 12, '0') AS target_id, CASE WHEN toxic = 1 THEN 'withheld' ELSE 'released' END AS outcome FROM labels")
 def scan_ext_decisions(spark, sf):
     df = X.read(spark, sf, "labels").select(F.expr("concat('dec-', doc_id) AS decision_id"), _at("timestamp"), F.expr("struct('user' AS type, 'u1' AS id) AS actor"), F.lit("release").alias("decision_type"), F.expr(_TGT.format("concat('obj-', lpad(doc_id, 6, '0'))")), F.expr("CASE WHEN toxic = 1 THEN 'withheld' ELSE 'released' END AS outcome"))
     return _log(spark, df, "decisions").select("decision_id", F.col("actor.type").alias("actor_type"), F.col("target.id").alias("target_id"), "outcome")
@@ -225,17 +225,23 @@ def job_document(job_id, task, chunks, created_at="2026-01-01T00:00:00Z", parame
     return json.dumps({"job_id": job_id, "created_at": created_at, "case_id": "case-1", "task": task, "scope": {"chunks": chunks}, "tool": {"name": "tracelake", "version": "1.0.0"}, "parameters": parameters or {}, **more}, sort_keys=True)
 
 
-@query("scan_delta_files", "SELECT job_dir, object_id, object_type FROM fx_deltas WHERE line < 100000")
+@query("scan_delta_files", "SELECT job_dir, object_id, object_type FROM fx_deltas")
 def scan_delta_files(spark, sf):
     from .q_aggregates import deltas
 
     root = shared_dir(spark)
-    rows = deltas(spark, sf).where("line < 100000").select("job_dir", "object_id", "object_type", "line")
-    for k in range(11):  # one folder a job
-        sinks.append_log(rows.where(F.col("job_dir") == f"job-{k}").coalesce(1).sortWithinPartitions("line").drop("job_dir", "line"), f"{root}/analysis/jobs/job-{k}/objects_delta.jsonl")
+    write_deltas(deltas(spark, sf), root)
     return readers.deltas(spark, root, "objects", "object_id string, object_type string").select("job_dir", "object_id", "object_type")
 
 
+def write_deltas(rows, root):
+    """One delta log a job: files of ordered ranges of its lines."""
+    jobs = [r.job_dir for r in rows.select("job_dir").distinct().collect()]
+    ranged = rows.select("job_dir", "object_id", "object_type", "line").repartitionByRange("job_dir", "line").sortWithinPartitions("line")
+    for job in jobs:  # as many as there are jobs to merge
+        sinks.append_log(ranged.where(F.col("job_dir") == job).drop("job_dir", "line"), f"{root}/analysis/jobs/{job}/objects_delta.jsonl")
+
+
 @query("scan_manifest", "SELECT 'case-1' AS case_id, '0.2.0' AS version, 'block_image' AS acquisition_mode")
 def scan_manifest(spark, sf):
     path = f"{shared_dir(spark)}/manifest.json"
@@ -253,18 +259,18 @@ def scan_acquisition(spark, sf):
 
 
 def chunk_container(spark, sf, root):
-    """Chunks of every 20th document, zstd frames of some, with their map; one chunk's stored bytes are changed."""
-    d = X.read(spark, sf, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("sequence"), F.col("text").cast("binary").alias("plain"))
-    z = F.col("sequence") % 40 == 0
+    """Chunks of all documents, half of them as zstd frames, with their map; one chunk's stored bytes are changed."""
+    d = X.read(spark, sf, "documents").groupBy("text").agg(F.min("doc_id").alias("sequence")).select("sequence", F.col("text").cast("binary").alias("plain"))
+    z = F.col("sequence") % 2 == 0
     rows = d.withColumn("packed", compress(F.col("plain"))).withColumns({"stored": F.when(z, F.col("packed")).otherwise(F.col("plain")), "compression": F.when(z, "zstd").otherwise("none")})
     rows = rows.select("sequence", "compression", F.sha2("plain", 256).alias("plaintext_sha256"), F.sha2("stored", 256).alias("stored_sha256"), "stored")
-    rows = rows.withColumn("chunk_id", S.tagged(F.col("plaintext_sha256"))).dropDuplicates(["chunk_id"])
+    rows = rows.withColumn("chunk_id", S.tagged(F.col("plaintext_sha256")))
     hurt = rows.withColumn("stored", F.when(F.col("sequence") == 60, F.concat(F.lit(b"!").cast("binary"), "stored")).otherwise(F.col("stored")))
     sinks.store_blobs(hurt.select(F.concat(F.lit("."), F.lit("/"), S.chunk_path(F.col("chunk_id"))).alias("path"), "stored"), root, "path", "stored").count()
     return rows.drop("stored")
 
 
-@query("scan_blob_chunk", "SELECT CASE WHEN seq = 60 THEN 'stored_hash' ELSE 'ok' END AS outcome, count(*) AS n FROM (SELECT max(CASE WHEN doc_id = 60 THEN 60 ELSE 0 END) AS seq FROM documents WHERE doc_id % 20 = 0 GROUP BY text) GROUP BY 1")
+@query("scan_blob_chunk", "SELECT CASE WHEN seq = 60 THEN 'stored_hash' ELSE 'ok' END AS outcome, count(*) AS n FROM (SELECT min(doc_id) AS seq FROM documents GROUP BY text) GROUP BY 1")
 def scan_blob_chunk(spark, sf):
     root = shared_dir(spark)
     chunks = chunk_container(spark, sf, root)
@@ -273,12 +279,12 @@ def scan_blob_chunk(spark, sf):
 
 def _stored(spark, sf, path_fn):
     root = shared_dir(spark)
-    d = X.read(spark, sf, "documents").where("doc_id % 25 = 0").select(path_fn(F.sha2("text", 256)).alias("path"), F.col("text").cast("binary").alias("content"))
+    d = X.read(spark, sf, "documents").select(path_fn(F.sha2("text", 256)).alias("path"), F.col("text").cast("binary").alias("content"))
     sinks.store_blobs(d, root, "path", "content").count()
     return root
 
 
-_BLOB_SQL = "SELECT sha256(text) AS digest, min(CAST(octet_length(encode(text)) AS BIGINT)) AS size{0} FROM documents WHERE doc_id % 25 = 0 GROUP BY text"
+_BLOB_SQL = "SELECT sha256(text) AS digest, min(CAST(octet_length(encode(text)) AS BIGINT)) AS size{0} FROM documents GROUP BY text"
 
 
 @query("scan_evidence_object", _BLOB_SQL.format(", true AS ok"))
@@ -291,7 +297,7 @@ def scan_derived_object(spark, sf):
     return readers.verified_blobs(spark, _stored(spark, sf, S.derived_path), "derived/objects").select("digest", "size", "ok")
 
 
-@query("object_sha_compute", "SELECT DISTINCT sha256(text) AS digest, sha256(text) AS computed FROM documents WHERE doc_id % 25 = 0")
+@query("object_sha_compute", "SELECT DISTINCT sha256(text) AS digest, sha256(text) AS computed FROM documents")
 def object_sha_compute(spark, sf):
     b = readers.blobs(spark, _stored(spark, sf, S.evidence_path), "evidence/objects")
     return b.select("digest", F.sha2("content", 256).alias("computed"))
@@ -302,7 +308,7 @@ def list_evidence_objects(spark, sf):
     return readers.blobs(spark, _stored(spark, sf, S.evidence_path), "evidence/objects", content=False).select("digest", "size")
 
 
-@query("scan_derived_streaming", "SELECT sha256(text) AS digest, CAST((octet_length(encode(text)) + 4095) // 4096 AS BIGINT) AS pieces FROM documents WHERE doc_id % 25 = 0 GROUP BY text")
+@query("scan_derived_streaming", "SELECT sha256(text) AS digest, CAST((octet_length(encode(text)) + 4095) // 4096 AS BIGINT) AS pieces FROM documents WHERE text <> '' GROUP BY text")
 def scan_derived_streaming(spark, sf):
     """Pieces of 4096 bytes of each object, by a range source that never holds a whole object."""
     root = _stored(spark, sf, S.derived_path)
@@ -325,42 +331,51 @@ def uri_resolve(spark, sf):
     return spark.createDataFrame([(u, readers.resolve_uri(u)) for u in ("s3://bucket/a/b/", "/data/case/", "file:///x")], "uri string, path string")
 
 
-def _entries(spark, sf):
-    return [(f"docs/{r.doc_id:06d}.txt", r.text.encode()) for r in X.read(spark, sf, "documents").where("doc_id < 20").select("doc_id", "text").collect()]
+def entries_of(spark, sf):
+    """(name, bytes) of all documents in order of the names, a partition at a time."""
+    name = F.concat(F.lit("docs/"), F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(".txt"))
+    d = X.read(spark, sf, "documents").select(name.alias("path"), F.col("text").cast("binary").alias("content")).orderBy("path")
+    return ((r.path, bytes(r.content)) for r in d.toLocalIterator(prefetchPartitions=True))
+
+
+def image_parts(spark, sf):
+    """Bytes of a raw image: all documents in order of their ids, a partition at a time."""
+    d = X.read(spark, sf, "documents").select("doc_id", F.col("text").cast("binary").alias("content")).orderBy("doc_id")
+    return (bytes(r.content) for r in d.toLocalIterator(prefetchPartitions=True))
 
 
-@query("packed_index", "SELECT path, 8 + CAST(coalesce(sum(n) OVER (ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset, n AS length, digest AS sha256 FROM (SELECT 'docs/' || lpad(CAST(doc_id AS VARCHAR), 6, '0') || '.txt' AS path, CAST(octet_length(encode(text)) AS BIGINT) AS n, sha256(text) AS digest FROM documents WHERE doc_id < 20)")
+@query("packed_index", "SELECT path, 8 + CAST(coalesce(sum(n) OVER (ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset, n AS length, digest AS sha256 FROM (SELECT 'docs/' || lpad(CAST(doc_id AS VARCHAR), 12, '0') || '.txt' AS path, CAST(octet_length(encode(text)) AS BIGINT) AS n, sha256(text) AS digest FROM documents)")
 def packed_index(spark, sf):
-    path = packed.local(shared_dir(spark)) + "/archive.pk"
-    packed.write(path, _entries(spark, sf))
+    path = shared_dir(spark) + "/archive.pk"
+    packed.write(path, entries_of(spark, sf))
     spark.dataSource.register(packed.PackedSource)
     return spark.read.format("packed_archive").load(path).select("path", "offset", "length", "sha256")
 
 
-@query("unpack", "SELECT 'docs/' || lpad(CAST(doc_id AS VARCHAR), 6, '0') || '.txt' AS path, sha256(text) AS digest, true AS ok FROM documents WHERE doc_id < 20")
+@query("unpack", "SELECT 'docs/' || lpad(CAST(doc_id AS VARCHAR), 12, '0') || '.txt' AS path, sha256(text) AS digest, true AS ok FROM documents")
 def unpack(spark, sf):
-    path = packed.local(shared_dir(spark)) + "/archive.pk"
-    packed.write(path, _entries(spark, sf))
+    path = shared_dir(spark) + "/archive.pk"
+    packed.write(path, entries_of(spark, sf))
     spark.dataSource.register(packed.PackedSource)
     return spark.read.format("packed_archive").option("content", "true").load(path).select("path", F.sha2("content", 256).alias("digest"), (F.sha2("content", 256) == F.col("sha256")).alias("ok"))
 
 
-@query("raw_image", "SELECT r AS sequence, r * 65536 AS source_offset, least(65536, n - r * 65536) AS source_length FROM (SELECT CAST(sum(octet_length(encode(text))) AS BIGINT) AS n FROM documents WHERE doc_id < 200), range(1000) t(r) WHERE r * 65536 < n")
+@query("raw_image", "SELECT r AS sequence, r * 65536 AS source_offset, least(65536, n - r * 65536) AS source_length FROM (SELECT CAST(sum(octet_length(encode(text))) AS BIGINT) AS n FROM documents), range((SELECT CAST(sum(octet_length(encode(text))) AS BIGINT) // 65536 + 1 FROM documents)) t(r) WHERE r * 65536 < n")
 def raw_image(spark, sf):
     """Fixed-size chunks of a raw image: each task reads its own ranges."""
-    path = packed.local(shared_dir(spark)) + "/image.raw"
-    packed.write_raw(path, (r.text.encode() for r in X.read(spark, sf, "documents").where("doc_id < 200").select("doc_id", "text").orderBy("doc_id").toLocalIterator()))
+    path = shared_dir(spark) + "/image.raw"
+    packed.write_raw(path, image_parts(spark, sf))
     spark.dataSource.register(packed.RangeSource)
     df = spark.read.format("byte_ranges").option("piece", 65536).load(path)
     return df.select(F.col("piece").alias("sequence"), F.col("start").alias("source_offset"), F.octet_length("content").cast("long").alias("source_length"))
 
 
-@query("convert", "SELECT count(*) AS chunks, CAST(sum(least(65536, n - r * 65536)) AS BIGINT) AS bytes, true AS same_hash FROM (SELECT CAST(sum(octet_length(encode(text))) AS BIGINT) AS n FROM documents WHERE doc_id < 200), range(1000) t(r) WHERE r * 65536 < n")
+@query("convert", "SELECT count(*) AS chunks, CAST(sum(least(65536, n - r * 65536)) AS BIGINT) AS bytes, true AS same_hash FROM (SELECT CAST(sum(octet_length(encode(text))) AS BIGINT) AS n FROM documents), range((SELECT CAST(sum(octet_length(encode(text))) AS BIGINT) // 65536 + 1 FROM documents)) t(r) WHERE r * 65536 < n")
 def convert(spark, sf):
     """Image to chunk map: pieces are hashed where they are read, the whole digest is checked by a stream."""
     root = shared_dir(spark)
-    path = packed.local(root) + "/image.raw"
-    digest = packed.write_raw(path, (r.text.encode() for r in X.read(spark, sf, "documents").where("doc_id < 200").select("doc_id", "text").orderBy("doc_id").toLocalIterator()))
+    path = f"{root}/image.raw"
+    digest = packed.write_raw(path, image_parts(spark, sf))
     spark.dataSource.register(packed.RangeSource)
     pieces = spark.read.format("byte_ranges").option("piece", 65536).load(path)
     h = F.sha2("content", 256)
@@ -394,13 +409,13 @@ def sink_analysis_rows(spark, sf):
     return readers.jsonl(spark, path, "doc_id long, label string")
 
 
-_HITS = "SELECT 'hit-' || event_id AS hit_id, 'job-1' AS job_id, event_type AS {0}, event_id * 10 AS physical_offset FROM events WHERE event_id % 9 = 0"
+_HITS = "SELECT 'hit-' || event_id AS hit_id, 'job-1' AS job_id, event_type AS {0}, event_id * 10 AS physical_offset FROM events"
 
 
 @query("sink_keyword_hits", _HITS.format("keyword"))
 def sink_keyword_hits(spark, sf):
     path = f"{shared_dir(spark)}/keyword_hits.parquet"
-    e = X.read(spark, sf, "events").where("event_id % 9 = 0").select(F.expr("concat('hit-', event_id) AS hit_id"), F.lit("job-1").alias("job_id"), F.col("event_type").alias("keyword"), F.lit("c").alias("chunk_id"), (F.col("event_id") * 10).alias("physical_offset"), *[F.lit("").alias(c) for c in ("file_id", "context_before", "context_after", "encoding", "worker_id", "timestamp")])
+    e = X.read(spark, sf, "events").select(F.expr("concat('hit-', event_id) AS hit_id"), F.lit("job-1").alias("job_id"), F.col("event_type").alias("keyword"), F.lit("c").alias("chunk_id"), (F.col("event_id") * 10).alias("physical_offset"), *[F.lit("").alias(c) for c in ("file_id", "context_before", "context_after", "encoding", "worker_id", "timestamp")])
     sinks.table(e, path, schemas.KEYWORD_HITS)
     return readers.table(spark, path, schemas.KEYWORD_HITS).select("hit_id", "job_id", "keyword", "physical_offset")
 
@@ -408,7 +423,7 @@ def sink_keyword_hits(spark, sf):
 @query("sink_yara_hits", _HITS.format("rule_name"))
 def sink_yara_hits(spark, sf):
     path = f"{shared_dir(spark)}/yara_hits.parquet"
-    e = X.read(spark, sf, "events").where("event_id % 9 = 0").select(F.expr("concat('hit-', event_id) AS hit_id"), F.lit("job-1").alias("job_id"), F.col("event_type").alias("rule_name"), F.lit("h").alias("ruleset_hash"), F.lit("c").alias("chunk_id"), (F.col("event_id") * 10).alias("physical_offset"), F.lit(3).alias("match_length"), *[F.lit("").alias(c) for c in ("file_id", "worker_id", "timestamp")])
+    e = X.read(spark, sf, "events").select(F.expr("concat('hit-', event_id) AS hit_id"), F.lit("job-1").alias("job_id"), F.col("event_type").alias("rule_name"), F.lit("h").alias("ruleset_hash"), F.lit("c").alias("chunk_id"), (F.col("event_id") * 10).alias("physical_offset"), F.lit(3).alias("match_length"), *[F.lit("").alias(c) for c in ("file_id", "worker_id", "timestamp")])
     sinks.table(e, path, schemas.YARA_HITS)
     return readers.table(spark, path, schemas.YARA_HITS).select("hit_id", "job_id", "rule_name", "physical_offset")
 

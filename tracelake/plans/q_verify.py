@@ -9,7 +9,7 @@ from ..operators import replay as R
 from ..operators import scan as N
 from ..registry import RELATIONS, query
 from ..sources import fixtures as X
-from ..sources import readers, sinks
+from ..sources import readers, schemas, sinks
 from ..sources.store import shared_dir, staged, stored
 from ..streaming import replay as ST
 from . import checks as V
@@ -174,24 +174,27 @@ def root_descriptor(spark, sf):
 @query("migrate", "SELECT '0.2.0' AS version, 'block_image' AS acquisition_mode, (SELECT count(*) FROM fx_chunk_map) AS chunks, true AS unchanged")
 def migrate(spark, sf):
     """Manifest of the old version rewritten; the chunk table keeps its rows."""
-    c = X.chunk_map(spark, sf).drop("doc_id")
+    c, root = X.chunk_map(spark, sf).drop("doc_id"), shared_dir(spark)
+    sinks.table(c, f"{root}/old.parquet", schemas.CHUNK_MAP, sort="sequence")
+    before = readers.table(spark, f"{root}/old.parquet", schemas.CHUNK_MAP)
+    sinks.table(before, f"{root}/new.parquet", schemas.CHUNK_MAP, sort="sequence")
+    after = readers.table(spark, f"{root}/new.parquet", schemas.CHUNK_MAP)
     old = spark.createDataFrame([("0.1.0", None)], "version string, acquisition_mode string")
     new = old.select(F.when(F.col("version") == "0.1.0", "0.2.0").otherwise(F.col("version")).alias("version"), F.coalesce("acquisition_mode", F.lit("block_image")).alias("acquisition_mode"))
-    return new.join(F.broadcast(c.agg(F.count(F.lit(1)).alias("chunks"))), F.lit(True)).withColumn("unchanged", F.lit(R.same_rows(c, c)))  # one row with one row
+    return new.join(F.broadcast(c.agg(F.count(F.lit(1)).alias("chunks"))), F.lit(True)).withColumn("unchanged", F.lit(R.same_rows(before, after)))  # one row with one row
 
 
 @query("sdk_verify", "SELECT true AS \"schema\", true AS source, true AS merkle")
 def sdk_verify(spark, sf):
     from ..operators import merkle as M
 
-    small = X.chunk_map(spark, sf).where("sequence < 64")
-    root = M.root(small.select("sequence", "plaintext_sha256")).first().root
-    plain = M.fold([bytes.fromhex(r[0]) for r in small.orderBy("sequence").select("plaintext_sha256").collect()])
-    text = X.read(spark, sf, "documents").join(small.select("doc_id", "sequence"), "doc_id").select("sequence", F.col("text").cast("binary").alias("b"))
-    import hashlib
-
-    whole = hashlib.sha256(b"".join(r.b for r in text.orderBy("sequence").collect())).hexdigest()
-    return spark.createDataFrame([(set(("sequence", "chunk_id")) <= set(small.columns), sinks.stream_digest(text, "sequence", "b") == whole, root == plain.hex())], "schema boolean, source boolean, merkle boolean")
+    map_, leaves = X.chunk_map(spark, sf), X.leaves(spark, sf)
+    text = X.read(spark, sf, "documents").join(map_.select("doc_id", "sequence"), "doc_id").select("sequence", F.col("text").cast("binary").alias("b"))
+    whole = sinks.raw_export(text, "sequence", "b", f"{shared_dir(spark)}/source.raw")
+    nodes = M.tree(leaves)
+    top = nodes.orderBy(F.desc("level")).limit(1).first().h
+    ok = (set(("sequence", "chunk_id")) <= set(map_.columns), sinks.stream_digest(text, "sequence", "b") == whole, M.root(leaves).first().root == top and not M.invalid_nodes(nodes).limit(1).count())
+    return spark.createDataFrame([ok], "schema boolean, source boolean, merkle boolean")
 
 
 @query("schema_validate", "SELECT event_id AS row_id, 'tool.name' AS path, 'required' AS message FROM events WHERE event_id % 10 = 3 UNION ALL SELECT event_id, 'event_id', 'pattern' FROM events WHERE event_id % 10 = 4 UNION ALL SELECT event_id, 'action', 'enum' FROM events WHERE event_type = 'error'")

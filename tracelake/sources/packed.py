@@ -12,6 +12,7 @@ import os
 import struct
 from collections.abc import Iterable, Iterator
 
+from pyarrow import fs as pafs
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 # Fixed values of the archive format.
@@ -19,11 +20,24 @@ HEADER_MAGIC, FOOTER_MAGIC, VERSION = b"OFPK", b"OFPKIDX1", 1
 HEADER_BYTES, FOOTER_BYTES = 8, 64
 
 
-def local(path: str) -> str:
-    """A file path for the driver and executors that share the folder; the folder is made."""
-    p = path.removeprefix("file://").removeprefix("file:")
-    os.makedirs(p, exist_ok=True)
-    return p
+def storage(path: str) -> tuple[pafs.FileSystem, str]:
+    """The store of a path or URI, and the path in it; the driver and all executors open files through it."""
+    if path.startswith("file:"):
+        path = "/" + path[5:].lstrip("/")
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), os.path.abspath(path))
+
+
+def create(path: str):
+    """An output stream; the folder is made."""
+    store, p = storage(path)
+    store.create_dir(os.path.dirname(p), recursive=True)
+    return store.open_output_stream(p)
+
+
+def opened(path: str):
+    """A file for reading at any place."""
+    store, p = storage(path)
+    return store.open_input_file(p)
 
 
 def safe_name(name: str) -> bool:
@@ -32,11 +46,14 @@ def safe_name(name: str) -> bool:
 
 
 def write(path: str, files: Iterable[tuple[str, bytes]], format_name: str = "packed") -> dict:
-    """Writes files (name, bytes) in order of their names; the index."""
-    entries, at = [], HEADER_BYTES
-    with open(path, "wb") as f:
+    """Writes files (name, bytes) in order of their names; the index. A list is sorted; other iterables come in order and are streamed."""
+    entries, at, last = [], HEADER_BYTES, ""
+    with create(path) as f:
         f.write(HEADER_MAGIC + struct.pack("<I", VERSION))
-        for name, data in sorted(files):
+        for name, data in sorted(files) if isinstance(files, list) else files:
+            if name < last:
+                raise ValueError(f"out of order: {name}")
+            last = name
             f.write(data)
             entries.append({"path": name.replace("\\", "/"), "offset": at, "length": len(data), "sha256": hashlib.sha256(data).hexdigest()})
             at += len(data)
@@ -48,10 +65,10 @@ def write(path: str, files: Iterable[tuple[str, bytes]], format_name: str = "pac
 
 def read_index(path: str) -> list[dict]:
     """Entries of an archive; ValueError names what is wrong with it."""
-    size = os.path.getsize(path)
-    if size < HEADER_BYTES + FOOTER_BYTES:
-        raise ValueError("the archive is too small")
-    with open(path, "rb") as f:
+    with opened(path) as f:
+        size = f.size()
+        if size < HEADER_BYTES + FOOTER_BYTES:
+            raise ValueError("the archive is too small")
         if f.read(4) != HEADER_MAGIC:
             raise ValueError("header magic")
         f.seek(size - FOOTER_BYTES)
@@ -75,7 +92,7 @@ def read_index(path: str) -> list[dict]:
 def unpack(path: str, folder: str) -> int:
     """Extracts all files, checking names and digests."""
     entries = read_index(path)
-    with open(path, "rb") as f:
+    with opened(path) as f:
         for e in entries:
             if not safe_name(e["path"]):
                 raise ValueError(f"unsafe name: {e['path']}")
@@ -83,9 +100,7 @@ def unpack(path: str, folder: str) -> int:
             data = f.read(e["length"])
             if hashlib.sha256(data).hexdigest() != e["sha256"]:
                 raise ValueError(f"checksum: {e['path']}")
-            full = os.path.join(folder, e["path"])
-            os.makedirs(os.path.dirname(full), exist_ok=True)
-            with open(full, "wb") as out:
+            with create(os.path.join(folder, e["path"])) as out:
                 out.write(data)
     return len(entries)
 
@@ -93,7 +108,7 @@ def unpack(path: str, folder: str) -> int:
 def write_raw(path: str, parts: Iterable[bytes]) -> str:
     """Writes an image from parts; its SHA-256."""
     h = hashlib.sha256()
-    with open(path, "wb") as f:
+    with create(path) as f:
         for p in parts:
             f.write(p)
             h.update(p)
@@ -105,6 +120,13 @@ class _Slice(InputPartition):
         self.path, self.first, self.last = path, first, last
 
 
+class _Slices(InputPartition):
+    """Runs of pieces (path, first, last)."""
+
+    def __init__(self):
+        self.slices: list[tuple[str, int, int]] = []
+
+
 class PackedSource(DataSource):
     """One row an entry of an archive; option content=true adds the bytes. Entries are dealt to tasks in runs."""
 
@@ -130,7 +152,7 @@ class _PackedReader(DataSourceReader):
 
     def read(self, part) -> Iterator[tuple]:
         entries = read_index(part.path)[part.first : part.last]
-        with open(part.path, "rb") as f:
+        with opened(part.path) as f:
             for e in entries:
                 row = (e["path"], e["offset"], e["length"], e["sha256"])
                 if self.content:
@@ -150,7 +172,7 @@ class RangeSource(DataSource):
         return "path string, piece bigint, start bigint, content binary"
 
     def reader(self, schema):
-        return _RangeReader(self.options["path"].removeprefix("file://").removeprefix("file:"), int(self.options.get("piece", str(64 << 20))), int(self.options.get("run", "16")))
+        return _RangeReader(self.options["path"], int(self.options.get("piece", str(64 << 20))), int(self.options.get("run", "16")))
 
 
 class _RangeReader(DataSourceReader):
@@ -158,15 +180,24 @@ class _RangeReader(DataSourceReader):
         self.path, self.piece, self.run = path, piece, run
 
     def partitions(self):
-        files = [self.path] if os.path.isfile(self.path) else sorted(os.path.join(d, n) for d, _, names in os.walk(self.path) for n in names if not n.endswith((".crc", ".tmp")))
-        out = []
-        for f in files:
-            n = -(-os.path.getsize(f) // self.piece)
-            out += [_Slice(f, i, min(n, i + self.run)) for i in range(0, n, self.run)]
-        return out
+        store, p = storage(self.path)
+        one = store.get_file_info(p)
+        found = [one] if one.type == pafs.FileType.File else store.get_file_info(pafs.FileSelector(p, recursive=True))
+        head = self.path[: len(self.path) - len(p)] if "://" in self.path and not self.path.startswith("file:") else ""
+        out, size = [_Slices()], 0
+        for f in sorted((x for x in found if x.type == pafs.FileType.File and not x.path.endswith((".crc", ".tmp"))), key=lambda x: x.path):
+            n = -(-f.size // self.piece)
+            for i in range(0, n, self.run):  # small files share a task
+                out[-1].slices.append((head + f.path, i, min(n, i + self.run)))
+                size += min(n, i + self.run) - i
+                if size >= self.run:
+                    out.append(_Slices())
+                    size = 0
+        return [p for p in out if p.slices]
 
     def read(self, part) -> Iterator[tuple]:
-        with open(part.path, "rb") as f:
-            for k in range(part.first, part.last):
-                f.seek(k * self.piece)
-                yield (part.path, k, k * self.piece, f.read(self.piece))
+        for path, first, last in part.slices:
+            with opened(path) as f:
+                for k in range(first, last):
+                    f.seek(k * self.piece)
+                    yield (path, k, k * self.piece, f.read(self.piece))

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import hashlib
 
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import csv_escape, dot_escape
+from . import packed
 from .readers import conform, exists
 
 
@@ -59,25 +61,24 @@ def store_blobs(df: DataFrame, root: str, path_col: str, content_col: str) -> Da
     A blob's path follows from its digest, so writing it twice (a task tried again) leaves the same file.
     """
     def run(batches):
-        import os
+        import uuid
 
         import pandas as pd
 
-        base = root.removeprefix("file://")
+        store, base = packed.storage(root)
         for pdf in batches:
             out = []
             for rel, data in zip(pdf[path_col], pdf[content_col]):
-                full = os.path.join(base, rel)
-                if os.path.exists(full):
-                    with open(full, "rb") as f:
+                full = f"{base}/{rel}"
+                if store.get_file_info(full).type == pafs.FileType.File:
+                    with store.open_input_stream(full) as f:
                         same = hashlib.sha256(f.read()).digest() == hashlib.sha256(data).digest()
                     out.append("present" if same else "conflict")
                     continue
-                os.makedirs(os.path.dirname(full), exist_ok=True)
-                tmp = f"{full}.{os.getpid()}.tmp"
-                with open(tmp, "wb") as f:
+                tmp = f"{full}.{uuid.uuid4().hex}.tmp"
+                with packed.create(f"{root}/{rel}" + tmp[len(full) :]) as f:
                     f.write(data)
-                os.replace(tmp, full)
+                store.move(tmp, full)
                 out.append("written")
             yield pd.DataFrame({"path": pdf[path_col], "outcome": out})
 
@@ -93,16 +94,15 @@ def stream_digest(parts: DataFrame, order: str, content: str) -> str:
 
 
 def raw_export(parts: DataFrame, order: str, content: str, path: str, expected: str | None = None) -> str:
-    """Concatenates parts in order to a local file; removes it if the digest is not as expected."""
-    import os
-
+    """Concatenates parts in order to a file, a partition at a time; removes it if the digest is not as expected."""
     h = hashlib.sha256()
-    with open(path, "wb") as f:
+    with packed.create(path) as f:
         for row in parts.select(order, content).orderBy(order).select(content).toLocalIterator():
             f.write(row[0])
             h.update(row[0])
     if expected and h.hexdigest() != expected:
-        os.remove(path)
+        store, p = packed.storage(path)
+        store.delete_file(p)
         raise ValueError("the export does not have the source's hash")
     return h.hexdigest()
 

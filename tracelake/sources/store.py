@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """A new folder below spark.checkpoint.dir. Where that is unset, a temporary one in local mode; a cluster must name a shared one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tracelake-"))
         base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/t-{uuid.uuid4().hex}"
