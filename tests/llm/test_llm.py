@@ -490,19 +490,71 @@ def test_op10_base_and_probabilities(spark, odd, empty, tmp_path):
 
 
 def test_op10_code_is_complete():
-    code = lmscore.fit_code([b"hello world", b"abc"])
+    code = lmscore.Code(lmscore.pair_counts([b"hello world", b"abc"]).astype(float))
     for prev in (0, 97, 256):
         lens = code.lens.reshape(257, 257)[prev]
         assert abs(sum(2.0 ** -float(x) for x in lens) - 1) < 1e-9
 
 
-def test_op10_weights_step_after_every_segment(monkeypatch):
-    code, lens, plain = lmscore.fit_code([b"hello world"]), [], lmscore.bits_of
-    tables = [np.zeros(-(-n // lmscore.CHUNK) * lmscore.CHUNK, dtype=np.int16) for n in lmscore.SLOTS]
+def tables_of(code, texts, slots):
+    tables = [np.zeros((-(-n // lmscore.CHUNK) * lmscore.CHUNK, 2), dtype=np.float32) for n in slots]
+    sym, off = lmscore.symbols_of(texts)
+    _, bit, _, places = lmscore.bits_of(code, sym, lmscore.contexts(sym, off), slots)
+    for t, p in zip(tables, places):
+        np.add.at(t, (p, bit), 1)
+    return tables
+
+
+def test_op10_weights_step_within_short_texts_and_every_segment(monkeypatch):
+    code, lens, plain = lmscore.Code(lmscore.pair_counts([b"hello world"]).astype(float)), [], lmscore.bits_of
+    slots, none = lmscore.places_for(0), np.zeros(0, dtype=np.int64)
+    tables = [lmscore.packed(t) for t in tables_of(code, [b"hello world"], slots)]
+    monkeypatch.setattr(lmscore, "bits_of", lambda code, sym, ctx, slots: lens.append(len(sym)) or plain(code, sym, ctx, slots))
+    lmscore.Model(code, tables, slots, (none, none.astype(float)), 0, 0).log2([b"hello " * 3500])
+    assert lens[:5] == [64, 64, 128, 256, 512] and max(lens) <= 512 and sum(lens) == 21_001
+
+
+def test_op10_score_equals_plain_bit_by_bit_mixing():
+    """Contexts as byte strings in a dictionary, one bit after the other, weights moved after each segment."""
+    learn = [b"the cat sat on the mat and the dog sat on the log ", b"a cat and a dog and a mat"] * 3
+    texts = [b"the cat and the dog sat", b"", b"unseen words " * 30, b"the dog sat on the mat " * 60]
+    code, slots = lmscore.Code(lmscore.pair_counts(learn).astype(float)), lmscore.places_for(0)
     none = np.zeros(0, dtype=np.int64)
-    monkeypatch.setattr(lmscore, "bits_of", lambda code, sym, ctx: lens.append(len(sym)) or plain(code, sym, ctx))
-    lmscore.Model(code, tables, lmscore.Mixer(), (none, none.astype(float)), 0, 0).log2([b"hello " * 3500])
-    assert max(lens) <= 512 and sum(lens) == 21_001
+    got = lmscore.Model(code, [lmscore.packed(t) for t in tables_of(code, learn, slots)], slots, (none, none.astype(float)), 0, 0).log2(texts)
+
+    def bits(text):
+        """(contexts with node, depth, bit) of every coded bit, symbol by symbol."""
+        sym = [256] * max(lmscore.ORDERS) + list(text) + [256]
+        for k in range(max(lmscore.ORDERS), len(sym)):
+            word = sym[k - 1] * 257 + sym[k]
+            path = code.steps[code.base[word] : code.base[word] + code.lens[word]].tolist()
+            yield [([tuple(sym[k - n : k]) + (x >> 4,) for n in lmscore.ORDERS], x & 1) for x in path]
+
+    counts = {}
+    for t in learn:
+        for path in bits(t):
+            for ctx, bit in path:
+                for c in ctx:
+                    counts.setdefault(c, [0, 0])[bit] += 1
+    for text, value in zip(texts, got):
+        total, move, grad, n = 0.0, [0.0] * 3, [0.0] * 3, 0
+        for at, path in enumerate(bits(text)):
+            if at and (at in lmscore.STEPS or at % lmscore.SEGMENT == 0):
+                move = [m + lmscore.RATE * g / max(n, 200) for m, g in zip(move, grad)]
+                grad, n = [0.0] * 3, 0
+            for ctx, bit in path:
+                seen = [counts.get(c, (0, 0)) for c in ctx]
+                st = [max(-8, min(8, math.log((b + lmscore.ALPHA) / (a + lmscore.ALPHA)))) for a, b in seen]
+                gate = (sum(seen[-1]) > 0) + (sum(seen[-1]) > 30)
+                p = 1 / (1 + math.exp(-sum((w + m) * x for w, m, x in zip(lmscore.START[gate], move, st))))
+                total += math.log2(p if bit else 1 - p)
+                grad, n = [g + (bit - p) * x for g, x in zip(grad, st)], n + 1
+        assert abs(total - value) < 0.02 + 2e-3 * abs(total), text
+
+
+def test_op10_tables_grow_with_the_input():
+    sizes = [lmscore.places_for(n) for n in (0, 10**8, 10**9, 10**14)]
+    assert [x[2] for x in sizes] == [1 << 19, 1 << 19, 1 << 22, 1 << 24] and all(x[1] * 2 == x[2] for x in sizes)
 
 
 def test_op10_learns(spark):
