@@ -17,7 +17,7 @@ LENGTH-byte prefixes of neighbours. To sort in parallel, the text is dealt into
 Equal texts are one text with a count from the beginning; a text of LENGTH bytes or more with copies is removed whole.
 
 The same steps run over a second unit, words (runs of bytes other than the six ASCII spaces, each as its 64-bit hash): passages of over
-50 words that another document also holds, whatever their bytes. They are counted, not removed. A key's lowest bit names its unit.
+50 words that another document also holds, whatever stands between the words. They are counted, not removed. A key's lowest bit names its unit.
 
 Cases: null texts are empty; a text shorter than LENGTH loses nothing; repeated rows are copies of each other, repeated doc_ids with different
 texts are different documents; copies share all words of a text of over 50; an empty table gives no rows; other columns are ignored. Kept bytes may split a
@@ -39,21 +39,18 @@ from pyspark.sql import functions as F
 from .common import drop_path, release, shared_dir, shuffle_width, small_batches, stored, table
 
 class Unit(NamedTuple):
-    """length: symbols that a repeated string has at least; gram: symbols of an anchor; size: bytes of a symbol; finer: offsets that a
-    frequent gram is dealt out anew by, each time."""
+    """length: symbols that a repeated string has at least; gram: symbols of an anchor; finer: offsets that a frequent gram is dealt out
+    anew by, each time."""
 
     length: int
     gram: int
-    size: int
     finer: tuple[int, ...]
 
 
-BYTES, WORDS = Unit(400, 128, 1, (22, 1)), Unit(51, 17, 8, (3, 1))
+BYTES, WORDS = Unit(400, 128, (22, 1)), Unit(51, 11, (3, 1))
 UNITS, LENGTH = (BYTES, WORDS), BYTES.length
 #: Symbols that are sorted together; runs of one gram beyond which it is dealt out anew.
 SORT_BYTES, HOT = 1 << 20, 2000
-#: A text of fewer bytes has neither LENGTH bytes nor words enough.
-SHORTEST = min(LENGTH, 2 * WORDS.length - 1)
 #: Starts that one step of the anchor search covers: places take 24 bits beside 40 of the hash.
 STEP = 1 << 20
 _MUL, _ADD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -211,13 +208,16 @@ def repeated_starts(texts: list[bytes], marks: list[tuple[int, int, int]], unit:
     """For each distinct run text whether each of its n - length + 1 starts begins a repeated string. marks: (occurrences, least and
     greatest document). Of words, a string is repeated only if two documents hold it."""
     length = unit.length
-    sizes = np.array([len(t) // unit.size + 1 for t in texts])
-    offsets = np.concatenate(([0], np.cumsum(sizes)))
     if unit == BYTES:
+        sizes = np.array([len(t) + 1 for t in texts])
+        offsets = np.concatenate(([0], np.cumsum(sizes)))
         seq = np.frombuffer(b"\0".join(texts) + b"\0", dtype=np.uint8).astype(np.int64) + 1
     else:
-        pad = bytes(unit.size)
-        seq = np.unique(np.frombuffer(pad.join(texts) + pad, dtype=np.int64), return_inverse=True)[1].reshape(-1) + 1
+        words, at = word_hashes(Rolling(1), np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+        sizes = np.diff(at) + 1
+        offsets = np.concatenate(([0], np.cumsum(sizes)))
+        seq = np.zeros(offsets[-1], dtype=np.int64)
+        seq[np.arange(len(words)) + np.repeat(np.arange(len(texts)), sizes - 1)] = np.unique(words, return_inverse=True)[1].reshape(-1) + 1
     seq[offsets[1:] - 1] = seq.max() + 1
     order = suffix_order(seq)
     own = np.repeat(np.arange(len(texts)), sizes)
@@ -272,37 +272,40 @@ def distinct_texts(docs: DataFrame, base: str) -> str:
     return name
 
 
-def find_runs(texts: DataFrame, base: str) -> DataFrame:
-    """(key, rh, owner, first, starts, off, c, text): the runs of each text (owner) whose anchor gram occurs twice at least; stored."""
-    spark = texts.sparkSession
+def _text(symbols: bytes | list[bytes]) -> bytes:
+    """A run's text: its bytes, or its words with a space between."""
+    return symbols if isinstance(symbols, bytes) else b" ".join(symbols)
+
+
+def find_runs(texts: DataFrame, base: str, k: int = 0) -> DataFrame:
+    """(key, rh, owner, first, starts, off, c, low, high, text): the runs, in the k-th unit, of each text (owner) whose anchor gram occurs
+    twice at least; stored."""
+    spark, unit = texts.sparkSession, UNITS[k]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling, words = Rolling(BYTES.gram), Rolling(WORDS.gram)
+        rolling = Rolling(unit.gram)
         for b in batches:
             data, offsets = _buffers(b.column(1))
-            found = [anchors(rolling, data, offsets), anchors(words, *word_hashes(rolling, data, offsets), WORDS.length)]
-            t, first, starts, place = (np.concatenate([f[k] for f in found]) for k in range(4))
-            key = np.concatenate([f[4] & ~1 | k for k, f in enumerate(found)])
+            if unit == WORDS:
+                data, offsets = word_hashes(rolling, data, offsets)
+            t, first, starts, place, key = anchors(rolling, data, offsets, unit.length)
+            key = key & ~1 | k
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(t)), pa.array(key), pa.array(first), pa.array(starts), pa.array(place - first)], names=["tid", "key", "first", "starts", "off"])
 
     # A whole text that repeats is one text here, so a gram that only its copies hold counts once, and needs no search: the copies go whole.
-    found = texts.where(F.octet_length("text") >= SHORTEST).select("tid", "text").mapInArrow(search, "tid string, key long, first long, starts long, off long")
+    found = texts.where(F.octet_length("text") >= (LENGTH if unit == BYTES else 2 * WORDS.length - 1)).select("tid", "text").mapInArrow(search, "tid string, key long, first long, starts long, off long")
     found = stored(found, f"{base}/anchors")
     # Written first: joined straight after the count, both sides would keep its partitioning, and Spark could not split a frequent gram.
     again = stored(found.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), f"{base}/again")
     lists = found.join(again, "key", "left_semi").groupBy("tid").agg(F.collect_list(F.struct("key", "first", "starts", "off")).alias("runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling = Rolling(BYTES.gram)
         for b in batches:
             cols: list[list] = [[] for _ in _KINDS]
             for tid, text, runs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                words, doc = None, int.from_bytes(bytes.fromhex(tid[:16]), "little", signed=True)
+                symbols, doc = (text if unit == BYTES else text.split()), int.from_bytes(bytes.fromhex(tid[:16]), "little", signed=True)
                 for r in runs:
-                    u = UNITS[r["key"] & 1]
-                    if u == WORDS and words is None:
-                        words = word_hashes(rolling, np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0].tobytes()
-                    part = (text if u == BYTES else words)[r["first"] * u.size : (r["first"] + r["starts"] + u.length - 1) * u.size]
+                    part = _text(symbols[r["first"] : r["first"] + r["starts"] + unit.length - 1])
                     for c, v in zip(cols, (r["key"], _digest(part), tid, r["first"], r["starts"], r["off"], 1, doc, doc, part)):
                         c.append(v)
             yield _runs(cols)
@@ -311,7 +314,7 @@ def find_runs(texts: DataFrame, base: str) -> DataFrame:
     return stored(joined.mapInArrow(cut, _RUNS), f"{base}/runs")
 
 
-#: c: occurrences; low, high: least and greatest document that holds it; text: bytes, or words as eight bytes each.
+#: c: occurrences; low, high: least and greatest document that holds it; text: see _text().
 _RUNS = "key long, rh binary, owner string, first long, starts long, off long, c long, low long, high long, text binary"
 _KINDS = [pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
@@ -328,15 +331,15 @@ def finer(each: DataFrame, level: int) -> DataFrame:
         for b in batches:
             cols: list[list] = [[] for _ in _KINDS]
             for key, owner, starts, off, c, low, high, text in zip(*(b.column(k).to_pylist() for k in range(8))):
-                u = UNITS[key & 1]
+                u, symbols = UNITS[key & 1], text if key & 1 == 0 else text.split()
                 width = u.finer[level]
                 # Start j of the run has offset off - j; slice q holds the offsets q * width .. q * width + width - 1.
                 j = 0
                 while j < starts:
                     q = (off - j) // width
                     last = min(starts - 1, off - q * width)
-                    core = text[(off - q * width) * u.size : (off - q * width + u.length - width + 1) * u.size]
-                    part = text[j * u.size : (last + u.length) * u.size]
+                    core = _text(symbols[off - q * width : off - q * width + u.length - width + 1])
+                    part = _text(symbols[j : last + u.length])
                     name = _digest(key.to_bytes(8, "little", signed=True) + q.to_bytes(4, "little") + core)
                     fine = int.from_bytes(name[:8], "little", signed=True) & ~1 | key & 1
                     for col, v in zip(cols, (fine, _digest(part), owner, j, last - j + 1, off - j, c, low, high, part)):
@@ -384,7 +387,7 @@ def repeats(each: DataFrame) -> DataFrame:
                 if group and group[0][0] != row[0]:
                     if len(group) > 1 or group[0][2] > 1:
                         ready += group
-                        size += sum(len(r[5]) // UNITS[r[0] & 1].size + 1 for r in group)
+                        size += sum(len(r[5]) + 1 for r in group)
                     group = []
                     if size >= SORT_BYTES:
                         yield from solve()
@@ -403,18 +406,20 @@ def covered(docs: DataFrame, base: str) -> tuple[str, DataFrame]:
     small_batches(spark, 512)
     texts = distinct_texts(docs, base)
     release(spark)
-    runs = find_runs(spark.table(texts), base)
-    release(spark)
-    found = repeated_ranges(runs, base)
-    length = F.when(F.col("unit") == 0, BYTES.length).otherwise(WORDS.length)
-    spans = found.select(F.col("owner").alias("tid"), "unit", F.col("lo").alias("a"), (F.col("hi") + length - 1).alias("b"))
-    spans = stored(spans.groupBy("tid").agg(F.collect_list(F.struct("unit", "a", "b")).alias("spans")), f"{base}/spans")
-    release(spark)
-    return texts, spans
+    spans = None
+    for k, unit in enumerate(UNITS):  # one after the other: each leaves as much on disk as the texts
+        own = f"{base}/unit{k}"
+        runs = find_runs(spark.table(texts), own, k)
+        drop_path(spark, f"{own}/anchors"), release(spark)
+        found = repeated_ranges(runs, own).select(F.col("owner").alias("tid"), F.lit(k).alias("unit"), F.col("lo").alias("a"), (F.col("hi") + unit.length - 1).alias("b"))
+        found = stored(found, f"{base}/spans{k}")
+        drop_path(spark, own), release(spark)
+        spans = found if spans is None else spans.union(found)
+    return texts, stored(spans.groupBy("tid").agg(F.collect_list(F.struct("unit", "a", "b")).alias("spans")), f"{base}/spans")
 
 
 def repeated_ranges(runs: DataFrame, base: str, level: int = 0) -> DataFrame:
-    """(owner, unit, lo, hi): ranges of repeated starts within each owner."""
+    """(owner, lo, hi): ranges of repeated starts within each owner."""
     each = stored(distinct_runs(runs), f"{base}/each{level}")
     found = None
     if level < len(BYTES.finer):
@@ -423,11 +428,11 @@ def repeated_ranges(runs: DataFrame, base: str, level: int = 0) -> DataFrame:
             fine = stored(finer(each.join(hot, "key", "left_semi"), level), f"{base}/finer{level}")
             again = fine.groupBy("key").agg(F.sum("c").alias("n")).where("n > 1").select("key")
             inner = repeated_ranges(fine.join(again, "key", "left_semi").select(*fine.columns), base, level + 1)
-            found = each.select("key", "rh", owner_of()).join(inner.drop("unit"), "owner").select("key", "rh", "lo", "hi")
+            found = each.select("key", "rh", owner_of()).join(inner, "owner").select("key", "rh", "lo", "hi")
             each = each.join(hot, "key", "left_anti").select(*each.columns)
     cold = stored(repeats(each), f"{base}/repeats{level}")
     found = cold if found is None else found.unionByName(cold)
-    return runs.select("key", "rh", "owner", "first").join(found, ["key", "rh"]).select("owner", F.col("key").bitwiseAND(F.lit(1)).alias("unit"), (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi"))
+    return runs.select("key", "rh", "owner", "first").join(found, ["key", "rh"]).select("owner", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi"))
 
 
 def merged(spans: list[dict] | None, unit: int) -> list[tuple[int, int]]:
@@ -474,8 +479,7 @@ def deduplicate(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
     per_text = spark.table(texts).join(spans, "tid", "left").select("tid", "copies", "text", "spans").mapInArrow(cut, fields)
     per_text = stored(per_text, f"{base}/kept")
     spark.sql(f"DROP TABLE {texts}")
-    for part in ("texts", "anchors", "runs", *[f"{name}{k}" for name in ("each", "finer") for k in range(len(BYTES.finer) + 1)]):
-        drop_path(spark, f"{base}/{part}")
+    drop_path(spark, f"{base}/texts")
     release(spark)
     ids = docs.select("doc_id", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("tid"))
     return ids.join(per_text, "tid").drop("tid")
