@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -85,9 +86,15 @@ def resolve(objects: DataFrame, s: Selectors) -> DataFrame:
 
 
 def scope_hash(inputs: DataFrame) -> DataFrame:
-    """One row: `sha256:` and the digest of the ids in order with newlines between. Sequential by definition; the ids alone meet."""
-    ids = F.array_sort(F.collect_list("object_id"))
-    return inputs.select("object_id").agg(F.count(F.lit(1)).alias("inputs"), F.concat(F.lit("sha256:"), F.sha2(F.array_join(ids, "\n"), 256)).alias("scope_hash"))
+    """One row: `sha256:` and the digest of the ids in order with newlines between. Sequential by definition: the sorted ids pass the
+    driver a partition at a time, none are kept."""
+    h, n, between = hashlib.sha256(), 0, b""
+    for row in inputs.select("object_id").orderBy("object_id").toLocalIterator(prefetchPartitions=True):
+        n += 1
+        if row[0] is not None:
+            h.update(between + row[0].encode())
+            between = b"\n"
+    return inputs.sparkSession.createDataFrame([(n, f"sha256:{h.hexdigest()}")], "inputs long, scope_hash string")
 
 
 def resolve_sdk(objects: DataFrame, object_types: tuple[str, ...] = (), extensions: tuple[str, ...] = (), exclude_labels: tuple[str, ...] = (), max_size: int | None = None) -> DataFrame:
