@@ -678,3 +678,14 @@ def test_jaccard_brute_force_and_cases(spark, common_over, monkeypatch, empty):
     assert far and sorted((r.id, r.component) for r in jaccard.near_duplicates(docs).collect()) == want
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == sorted(set(low.values()))
     assert jaccard.near_duplicates(empty).count() == 0
+
+
+def test_parity_maps_never_exceed_what_differs():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 40, 400, 5000):
+        a = np.unique(rng.integers(-(2**63), 2**63 - 1, n, dtype=np.int64))
+        for gone in (0, n // 10, n // 2):
+            b = np.unique(np.concatenate((a[gone:], rng.integers(-(2**63), 2**63 - 1, gone, dtype=np.int64))))
+            differ = len(np.setxor1d(a, b))
+            apart = int(np.bitwise_count((jaccard.parity_map(a) ^ jaccard.parity_map(b)).view(np.uint64)).sum())
+            assert apart <= differ and (apart - differ) % 2 == 0
