@@ -1,11 +1,13 @@
 """Small hand-made inputs, injected faults and round trips."""
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tracelake.operators import cases, graph, lineage, merkle, replay, scan, scope, shards
+from tracelake.operators.ordered import running
 from tracelake.operators.ranges import overlap_join, point_join
 from tracelake.plans import checks
 from tracelake.sources import packed, readers, schemas, sinks
@@ -87,6 +89,29 @@ def test_cycles(spark):
     assert {(r.node, r.depth) for r in graph.closure(both, spark.createDataFrame([("a",)], "node string")).collect()} == {("a", 0), ("b", 1), ("c", 2), ("d", 3), ("e", 4)}
 
 
+def test_cycles_of_random_graphs_against_plain(spark):
+    rng = random.Random(5)
+    pairs = [(f"{g}-{rng.randrange(14):02d}", f"{g}-{rng.randrange(14):02d}") for g in range(4) for _ in range(16)]
+    reach = {a: {b for x, b in pairs if x == a} for a, _ in pairs}
+    for _ in pairs:
+        for a in reach:
+            reach[a] = reach[a].union(*[reach.get(b, set()) for b in reach[a]])
+    want = sorted(a for a in reach if a in reach[a])
+    assert len(want) > 4
+    assert sorted(r.node for r in graph.cycle_nodes(edges_df(spark, pairs)).collect()) == want
+    assert graph.cycle_nodes(edges_df(spark, [("a", "b")])).count() == 0
+
+
+def test_running_sums_with_an_outlier_key(spark):
+    keys = [*range(-50, 3000), 10**15]
+    found = running(spark.createDataFrame([(k, k % 7) for k in keys], "k long, v long"), "k", {"before": F.col("v"), "rank": F.lit(1)})
+    sums = {r.k: (r.before, r["rank"]) for r in found.collect()}
+    assert sums == {k: (sum(x % 7 for x in keys[:i]), i) for i, k in enumerate(keys)}
+    widest = running(spark.range(20_000).selectExpr("if(id = 0, -1000000000000000, id) AS k"), "k", {"rank": F.lit(1)})
+    assert widest.count() == 20_000 and widest.where("k = 19999").first()["rank"] == 19_999
+    assert running(spark.createDataFrame([], "k long"), "k", {"rank": F.lit(1)}).count() == 0
+
+
 def test_lineage_path_errors(spark):
     p = spark.createDataFrame([("c", "b"), ("b", "a"), ("a", None), ("x", "y"), ("y", "x")], "object_id string, parent_id string")
     assert graph.lineage_path(p, "c") == ["a", "b", "c"]

@@ -50,14 +50,10 @@ def ancestor_edges(edges: DataFrame, node: str, shortcuts: bool = True) -> DataF
     return out if shortcuts else out.where("parent_depth > child_depth")
 
 
-def cycle_core(edges: DataFrame) -> DataFrame:
-    """(node): what is left when nodes without incoming or without outgoing edges are taken away until none is left.
-
-    Empty exactly if there is no cycle; holds every node on a cycle and the nodes on paths between cycles.
-    """
-    spark = edges.sparkSession
-    base = shared_dir(spark)
-    cur = stored(edges.select(F.col("parent_object_id").alias("p"), F.col("child_object_id").alias("c")).distinct(), f"{base}/0")
+def _trimmed(steps: DataFrame) -> DataFrame:
+    """Steps (p, c) left when nodes without incoming or without outgoing ones are taken away until none is left; stored."""
+    base = shared_dir(steps.sparkSession)
+    cur = stored(steps, f"{base}/0")
     n, k = cur.count(), 0
     while n:
         k += 1
@@ -67,23 +63,57 @@ def cycle_core(edges: DataFrame) -> DataFrame:
         if left == n:
             break
         n = left
-    return cur.select(F.col("p").alias("node")).distinct()
+    return cur
+
+
+def _steps(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("parent_object_id").alias("p"), F.col("child_object_id").alias("c")).distinct()
+
+
+def cycle_core(edges: DataFrame) -> DataFrame:
+    """(node): what is left when nodes without incoming or without outgoing edges are taken away until none is left.
+
+    Empty exactly if there is no cycle; holds every node on a cycle and the nodes on paths between cycles.
+    """
+    return _trimmed(_steps(edges)).select(F.col("p").alias("node")).distinct()
+
+
+def _colours(steps: DataFrame) -> DataFrame:
+    """(node, colour): the smallest node that reaches each node of steps (p, c), itself included; stored."""
+    base = shared_dir(steps.sparkSession)
+    nodes = steps.select(F.col("p").alias("node")).union(steps.select("c")).distinct()
+    cur = stored(nodes.select("node", F.col("node").alias("colour")), f"{base}/0")
+    for k in count(1):
+        sent = steps.join(cur.withColumnRenamed("node", "p"), "p").groupBy(F.col("c").alias("node")).agg(F.min("colour").alias("sent"))
+        low = cur.join(sent, "node", "left").select("node", F.least("colour", "sent").alias("colour"), F.coalesce(F.expr("sent < colour"), F.lit(False)).alias("moved"))
+        nxt = stored(low, f"{base}/{k}")
+        cur = nxt.select("node", "colour")
+        if not nxt.where("moved").limit(1).count():
+            return cur
 
 
 def cycle_nodes(edges: DataFrame) -> DataFrame:
-    """(node): nodes that reach themselves. Search starts from the core only."""
-    core = stored(cycle_core(edges), shared_dir(edges.sparkSession))
-    inner = edges.join(core.withColumnRenamed("node", "parent_object_id"), "parent_object_id", "left_semi").join(core.withColumnRenamed("node", "child_object_id"), "child_object_id", "left_semi")
-    base = shared_dir(edges.sparkSession)
-    step = stored(inner.select(F.col("parent_object_id").alias("node"), F.col("child_object_id").alias("to")).distinct(), f"{base}/step")
-    reach = stored(step.select(F.col("node").alias("src"), F.col("to").alias("node")), f"{base}/0")
-    seen, k = reach, 0
-    while reach.limit(1).count():
-        k += 1
-        nxt = reach.join(step, "node").select("src", F.col("to").alias("node")).distinct().join(seen, ["src", "node"], "left_anti")
-        reach = stored(nxt, f"{base}/{k}")
-        seen = edges.sparkSession.read.schema(reach.schema).parquet(*[f"{base}/{i}" for i in range(k + 1)])
-    return seen.where("src = node").select("node").distinct()
+    """(node): nodes that reach themselves, the strongly connected components of the core.
+
+    Each round colours every node by the smallest one that reaches it; what reaches its colour's node inside the colour is that
+    node's component. Rows stay in proportion to edges: pairs of nodes are never listed. Rounds go on with the edges inside a
+    colour that touch no component found, until none is left.
+    """
+    spark = edges.sparkSession
+    base = shared_dir(spark)
+    cur, found = _trimmed(_steps(edges)), []
+    while cur.limit(1).count():
+        k, colours = len(found), _colours(cur)
+        of_p, of_c = colours.select(F.col("node").alias("p"), F.col("colour").alias("x")), colours.select(F.col("node").alias("c"), F.col("colour").alias("y"))
+        same = stored(cur.join(of_p, "p").join(of_c, "c").where("x = y").select("p", "c"), f"{base}/same{k}")
+        inner = same.select(F.col("p").alias("parent_object_id"), F.col("c").alias("child_object_id"))
+        done = stored(closure(inner, colours.where("node = colour").select("node"), up=True).select("node"), f"{base}/done{k}")
+        as_p, as_c = done.withColumnRenamed("node", "p"), done.withColumnRenamed("node", "c")
+        stored(same.join(as_p, "p", "left_semi").join(as_c, "c", "left_semi").select(F.col("p").alias("node")).distinct(), f"{base}/found{k}")
+        found.append(f"{base}/found{k}")
+        cur = _trimmed(same.join(as_p, "p", "left_anti").join(as_c, "c", "left_anti").select("p", "c"))
+    none = cur.select(F.col("p").alias("node"))
+    return spark.read.schema(none.schema).parquet(*found) if found else none
 
 
 def paths(entries: DataFrame, root: int) -> DataFrame:
