@@ -24,9 +24,21 @@ def test_mbr_and_extended_chain():
     scheme, found = disk.parse_image(disk.reader_of(bytes(image)), len(image))
     assert scheme == "mbr"
     assert [(p["partition_id"], p["start_offset"] // 512, p["length"] // 512, p["bootable"]) for p in found] == [
-        ("mbr-1", 2048, 2048, True), ("mbr-2", 4096, 2048, False), ("mbr-3", 8000, 4000, False), ("ebr-1", 8010, 100, False), ("ebr-2", 9020, 200, False),
+        ("mbr-1", 2048, 2048, True), ("mbr-2", 4096, 2048, False), ("ebr-1", 8010, 100, None), ("ebr-2", 9020, 200, None),
     ]
-    assert found[0]["partition_type"] == "NTFS / exFAT"
+    assert found[0]["partition_type"] == "NTFS / exFAT (0x07)"
+
+
+def test_mbr_gaps_and_links():
+    image = bytearray(10 << 20)
+    image[:512] = mbr([(0, 0, 10, 0), (0, 0x0F, 8000, 4000), (0, 0x99, 2048, 10), (0, 7, 4096, 0)])
+    image[8000 * 512 : 8000 * 512 + 512] = mbr([(0, 0, 0, 0), (0, 0x83, 100, 500)])  # no partition, but a link of any type
+    image[8100 * 512 : 8100 * 512 + 512] = mbr([(0x80, 0x83, 7, 9), (0, 5, 200, 0)])  # a link without a size ends the chain
+    found = disk.parse_mbr(disk.reader_of(bytes(image)))
+    assert [(p["partition_id"], p["partition_type"], p["first_lba"], p["last_lba"], p["bootable"]) for p in found] == [
+        ("mbr-1", "Unknown (0x99)", 2048, 2057, False), ("ebr-2", "Linux Filesystem (0x83)", 8107, 8115, None),
+    ]
+    assert [p["partition_id"] for p in disk.parse_mbr(disk.range_reader([(0, bytes(image[: 8000 * 512]))]))] == ["mbr-1"]
 
 
 def gpt_image(parts, sectors=20480):

@@ -24,10 +24,21 @@ def _frame(spark, rows):
     return spark.createDataFrame([tuple(r[c] for c in cols) for r in rows], "partition_id string, name string, partition_type string, start_offset long, length long, first_lba long, last_lba long, bootable boolean")
 
 
-@query("parse_mbr", "SELECT 'mbr-' || (n_nationkey + 1) AS partition_id, CAST(NULL AS VARCHAR) AS name, CASE n_nationkey WHEN 0 THEN 'NTFS / exFAT' ELSE 'Linux Filesystem' END AS partition_type, CAST(n_nationkey * 1000 + 100 AS BIGINT) * 512 AS start_offset, CAST(500 * 512 AS BIGINT) AS length, CAST(n_nationkey * 1000 + 100 AS BIGINT) AS first_lba, CAST(n_nationkey * 1000 + 599 AS BIGINT) AS last_lba, n_nationkey = 0 AS bootable FROM nation WHERE n_nationkey < 4")
+_MBR = """SELECT p.partition_id, CAST(NULL AS VARCHAR) AS name, p.partition_type, CAST(n_nationkey * 1000 + p.rel AS BIGINT) * 512 AS start_offset, CAST(p.n * 512 AS BIGINT) AS length,
+    CAST(n_nationkey * 1000 + p.rel AS BIGINT) AS first_lba, CAST(n_nationkey * 1000 + p.rel + p.n - 1 AS BIGINT) AS last_lba, p.bootable
+FROM nation JOIN (VALUES (0, 'mbr-1', 'NTFS / exFAT (0x07)', 100, 500, true), (2, 'mbr-2', 'Linux Filesystem (0x83)', 100, 500, false),
+    (3, 'ebr-1', 'Linux Filesystem (0x83)', 110, 100, NULL), (3, 'ebr-2', 'Linux Swap (0x82)', 155, 20, NULL)) p(k, partition_id, partition_type, rel, n, bootable) ON n_nationkey = p.k"""
+
+
+@query("parse_mbr", _MBR)
 def parse_mbr(spark, sf):
-    record = images.boot_record([(0x80 if k == 0 else 0, 7 if k == 0 else 0x83, k * 1000 + 100, 500) for k, _ in _nations(spark, sf, 4)])
-    return _frame(spark, disk.parse_mbr(disk.reader_of(record)))
+    """A record with an empty slot and a container, whose chain has two links; starts come from the first nations' keys."""
+    at = [k * 1000 + 100 for k, _ in _nations(spark, sf, 4)]
+    image = bytearray((at[3] + 60) * disk.SECTOR)
+    records = {0: [(0x80, 7, at[0], 500), (0, 0, at[1], 0), (0, 0x83, at[2], 500), (0, 5, at[3], 500)], at[3]: [(0, 0x83, 10, 100), (0, 5, 50, 60)], at[3] + 50: [(0, 0x82, 5, 20)]}
+    for lba, slots in records.items():
+        image[lba * disk.SECTOR : (lba + 1) * disk.SECTOR] = images.boot_record(slots)
+    return _frame(spark, disk.parse_mbr(disk.reader_of(bytes(image))))
 
 
 _GPT = "SELECT 'gpt-' || (n_nationkey + 1) AS partition_id, n_name AS name, CASE n_nationkey % 2 WHEN 0 THEN 'EFI System Partition' ELSE 'Linux Swap' END AS partition_type, CAST(n_nationkey * 10 + 100 AS BIGINT) * 512 AS start_offset, CAST(10 * 512 AS BIGINT) AS length, CAST(n_nationkey * 10 + 100 AS BIGINT) AS first_lba, CAST(n_nationkey * 10 + 109 AS BIGINT) AS last_lba, CAST(NULL AS BOOLEAN) AS bootable FROM nation"

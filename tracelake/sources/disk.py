@@ -18,6 +18,8 @@ from ..functions.scalars import MBR_TYPES, TYPE_GUIDS
 SECTOR = 512
 #: Longest chain of extended boot records that is followed; named streams and attribute-list entries taken of a record.
 MAX_EBR, MAX_ADS, MAX_LIST = 256, 64, 4096
+#: Types of extended containers.
+EXTENDED = (0x05, 0x0F)
 
 Reader = Callable[[int, int], bytes]
 
@@ -68,32 +70,40 @@ def _slots(sector: bytes) -> Iterator[tuple[int, int, int, int]]:
         yield e[0], e[4], first, count
 
 
+def _mbr_type(kind: int) -> str:
+    return f"{MBR_TYPES.get(kind, 'Unknown')} (0x{kind:02X})"
+
+
 def parse_mbr(read: Reader) -> list[dict]:
-    """Primary partitions mbr-n and logical ones ebr-n of a boot record; empty slots are skipped."""
-    out, logical = [], 0
+    """Primary partitions mbr-n, numbered as they are found, then the logical ones of the extended container.
+
+    Empty slots and containers give no row; of several containers the last is followed."""
     sector = read(0, SECTOR)
     if sector[510:512] != b"\x55\xaa":
         return []
-    for k, (flag, kind, first, count) in enumerate(_slots(sector), 1):
-        if kind == 0 or count == 0:
-            continue
-        out.append(_entry(f"mbr-{k}", MBR_TYPES.get(kind, "Unknown"), first, count, bootable=flag == 0x80))
-        if kind not in (0x05, 0x0F):
-            continue
-        at, seen = first, set()
-        while at not in seen and len(seen) < MAX_EBR:
-            seen.add(at)
-            ebr = read(at * SECTOR, SECTOR)
-            if len(ebr) < SECTOR or ebr[510:512] != b"\x55\xaa":
-                break
-            (flag1, kind1, rel, n), (_, kind2, rel2, _) = list(_slots(ebr))[:2]
-            if kind1 and n:
-                logical += 1
-                out.append(_entry(f"ebr-{logical}", MBR_TYPES.get(kind1, "Unknown"), at + rel, n, bootable=flag1 == 0x80))
-            if kind2 not in (0x05, 0x0F) or rel2 == 0:
-                break
-            at = first + rel2
-    return out
+    used = [slot for slot in _slots(sector) if slot[1] and slot[3]]
+    primary = [slot for slot in used if slot[1] not in EXTENDED]
+    out = [_entry(f"mbr-{k}", _mbr_type(kind), first, n, bootable=flag == 0x80) for k, (flag, kind, first, n) in enumerate(primary, 1)]
+    containers = [first for _, kind, first, _ in used if kind in EXTENDED]
+    return out + (list(_logical(read, containers[-1])) if containers else [])
+
+
+def _logical(read: Reader, container: int) -> Iterator[dict]:
+    """Logical partitions ebr-n, n the link of the chain: a link without a partition takes its number too. An unreadable link ends the chain."""
+    at = container
+    for link in range(1, MAX_EBR + 1):
+        try:
+            sector = read(at * SECTOR, SECTOR)
+        except ValueError:
+            return
+        if len(sector) < SECTOR:
+            return
+        (_, kind, first, n), (_, more, step, size), *_ = _slots(sector)
+        if kind and n:
+            yield _entry(f"ebr-{link}", _mbr_type(kind), at + first, n)
+        if not more or not size:
+            return
+        at = container + step
 
 
 def guid(raw: bytes) -> str:
