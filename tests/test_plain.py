@@ -31,3 +31,10 @@ def test_json_paths_equal_a_plain_walk(spark, sf):
         if r.props is not None:
             want += [(r.event_id, *x) for x in walk({"files": [f"a/{r.event_type}", {"x": "b"}], "n": 1, "props": json.loads(r.props)}, "$")]
     assert sorted(tuple(r) for r in catalog.queries()["ext_paths_flatten"](spark, sf).collect()) == sorted(want)
+
+
+def test_decisions_name_targets_of_twelve_digits(spark, tmp_path):
+    """An id of seven digits and its first six are two targets; a null label is released."""
+    spark.createDataFrame([(1, 0), (123456, 1), (1234567, None)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = {r.decision_id: (r.actor_type, r.target_id, r.outcome) for r in catalog.queries()["scan_ext_decisions"](spark, str(tmp_path)).collect()}
+    assert got == {"dec-1": ("user", "obj-000000000001", "released"), "dec-123456": ("user", "obj-000000123456", "withheld"), "dec-1234567": ("user", "obj-000001234567", "released")}
