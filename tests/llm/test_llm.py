@@ -552,6 +552,39 @@ def test_op10_score_equals_plain_bit_by_bit_mixing():
         assert abs(total - value) < 0.02 + 2e-3 * abs(total), text
 
 
+def test_op10_weights_are_learned_from_every_bit_of_all_learning_documents(spark, tmp_path):
+    """Contexts as byte strings in a dictionary, each bit's own count left out: at the model's weights the cost of all bits has no slope left."""
+    learn = ["the cat sat on the mat and the dog sat on the log ", "a cat and a dog and a mat", None, "", "once", " ".join(f"word{k % 97} filler{k % 13}" for k in range(2700))] * 2
+    model, _ = lmscore.fit(docs_df(spark, [(k, t, "en", "s") for k, t in enumerate(learn)]), str(tmp_path / "lm"))
+    steps, counts = [], {}
+    for t in learn:
+        sym = [256] * max(lmscore.ORDERS) + list((t or "").encode()) + [256]
+        for k in range(max(lmscore.ORDERS), len(sym)):
+            word = sym[k - 1] * 257 + sym[k]
+            for x in model.code.steps[model.code.base[word] : model.code.base[word] + model.code.lens[word]].tolist():
+                ctx, bit = [tuple(sym[k - n : k]) + (x >> 4,) for n in lmscore.ORDERS], x & 1
+                steps.append((ctx, x >> 1 & 7, bit))
+                for c in ctx:
+                    counts.setdefault(c, [0, 0])[bit] += 1
+    start = np.array([lmscore.START[g // lmscore.GATES_DEPTH] for g in range(len(model.weights))])
+    slope, bits = lmscore.PRIOR * (model.weights - start), Counter()
+    for ctx, depth, bit in steps:
+        left = [[n - (b == bit) for b, n in enumerate(counts[c])] for c in ctx]
+        st = [round(lmscore.GRID * max(-8, min(8, math.log((b + lmscore.ALPHA) / (a + lmscore.ALPHA))))) / lmscore.GRID for a, b in left]
+        gate = ((sum(left[-1]) > 0) + (sum(left[-1]) > 30)) * lmscore.GATES_DEPTH + depth
+        slope[gate] -= (bit - 1 / (1 + math.exp(-float(model.weights[gate] @ st)))) * np.array(st)
+        bits[gate] += 1
+    assert len(bits) >= 12 and np.abs(model.weights - start).max() > 0.2
+    assert all(np.abs(slope[g]).max() <= 0.02 + 1e-3 * bits[g] for g in range(len(slope))), np.abs(slope).max(axis=1)
+
+
+def test_op10_gates_by_depth_differ_and_without_learning_documents_the_start_stays(spark, empty, tmp_path):
+    model, _ = lmscore.fit(empty, str(tmp_path / "none"))
+    assert np.allclose(model.weights, lmscore.start_weights())
+    model, _ = lmscore.fit(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), str(tmp_path / "lm"))
+    assert all(len(np.unique(np.round(rows[:, 1], 3))) == lmscore.GATES_DEPTH for rows in model.weights.reshape(lmscore.GATES_SEEN, lmscore.GATES_DEPTH, -1))
+
+
 def test_op10_tables_grow_with_the_input():
     sizes = [lmscore.places_for(n) for n in (0, 10**8, 10**9, 10**14)]
     assert [x[2] for x in sizes] == [1 << 19, 1 << 19, 1 << 22, 1 << 24] and all(x[1] * 2 == x[2] for x in sizes)

@@ -3,14 +3,16 @@
 Model. A text is its UTF-8 bytes and one end symbol. Each symbol is written in a prefix code that depends on the
 byte before it, so its probability is a product of bit probabilities. Predictors with the contexts of ORDERS
 bytes and the code node, hashed to places beyond order 1, hold counts n0, n1 of all learning documents
-and give stretch((n1 + a) / (n0 + n1 + 2a)). A mixer adds them with weights gated by
-how much the longest context has seen (START); within a document the weights are refined online: after bytes STEPS, then after every
+and give stretch((n1 + a) / (n0 + n1 + 2a)). A mixer adds them with weights gated by the bit's depth in the code and by
+how much the longest context has seen. The weights are learned by logistic regression on every bit of all learning documents, each bit's own
+count left out: one pass counts the bits by gate and inputs (in steps of 1 / GRID), and Newton steps on these counts find
+each gate's weights, drawn to START by PRIOR. Within a document they are refined online: after bytes STEPS, then after every
 SEGMENT bytes, they take a step along the gradient of the bits just coded, starting anew for each document. Probabilities are
 those before the step, so they sum to one over all texts. score is the log10 probability; bits_per_byte
 is total bits by bytes.
 
-Everything that is gathered covers all learning documents: the byte pairs that make the prefix code, the predictors' counts and the
-token counts; nothing is fitted on a sample. Tables grow with the learning bytes, a place of the longest order for BYTES_PLACE of them,
+Everything that is gathered covers all learning documents: the byte pairs that make the prefix code, the predictors' counts, the mixer's
+weights and the token counts; nothing is fitted on a sample. Tables grow with the learning bytes, a place of the longest order for BYTES_PLACE of them,
 from MIN_PLACES to MAX_PLACES, which bounds memory; beyond, contexts share places. Tasks are as many as keep what they send, a
 table each, below what they read.
 
@@ -42,8 +44,11 @@ ALPHA, CLAMP = 0.4, 8.0
 BYTES_PLACE, MIN_PLACES, MAX_PLACES, MIN_TASKS = 128, 1 << 19, 1 << 24, 16
 FREQUENT, SEGMENT, STEPS, RATE = 100_000, 512, (64, 128, 256, 512), 0.3
 GATES_DEPTH, GATES_SEEN = 6, 3
-#: Weights of the orders before a document's first step, by what the longest context has seen: nothing, little, often.
+#: Weights of the orders that learning starts from, by what the longest context has seen: nothing, little, often.
 START = ((0.25, 0.75, 0.0), (0.15, 0.45, 0.45), (0.1, 0.25, 0.75))
+#: Learning: steps of a predictor's input to 1, its values from -CLAMP to CLAMP, and how strongly weights are drawn to START.
+GRID, PRIOR = 2, 1.0
+LEVELS = 2 * int(CLAMP) * GRID + 1
 #: Steps of a packed stretch value.
 UNIT = 1000
 _END_WORD = -1  # the hash kept for the end token
@@ -205,11 +210,93 @@ def packed(count: np.ndarray) -> np.ndarray:
     return (np.rint(stretched(count) * UNIT).astype(np.int16) << 2) | seen_of(count).astype(np.int16)
 
 
+def without_own(count: np.ndarray, seen: bool) -> np.ndarray:
+    """For each place and bit (0, 1) what the mixer gets for such a bit, its own count left out (int8): the input's level,
+    turned so that higher is better for this bit, and if asked for seen_of() times LEVELS. Zero counts are never looked up with their bit."""
+    out = np.empty((len(count), 2), dtype=np.int8)
+    for bit in (0, 1):
+        left = count.copy()
+        left[:, bit] = np.maximum(left[:, bit] - 1, 0)
+        out[:, bit] = (seen_of(left) * LEVELS if seen else 0) + np.rint((2 * bit - 1) * GRID * stretched(left)).astype(np.int32) + LEVELS // 2
+    return out.reshape(-1)
+
+
+def start_weights() -> np.ndarray:
+    """START for every gate, a row each: what the longest context has seen, then depth."""
+    return np.repeat(np.array(START, dtype=np.float64), GATES_DEPTH, axis=0)
+
+
+def fit_weights(cells: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Weights of each gate: least coding cost of n bits in each cell, and PRIOR / 2 times the squared distance to START."""
+    out = start_weights()
+    gate, inputs = np.divmod(cells, LEVELS ** len(ORDERS))
+    gate = gate % GATES_SEEN * GATES_DEPTH + gate // GATES_SEEN
+    x = np.stack([inputs // LEVELS**k % LEVELS - LEVELS // 2 for k in range(len(ORDERS))], axis=1) / GRID
+    for g in np.unique(gate):
+        a, c, w0 = x[gate == g], n[gate == g].astype(np.float64), out[g].copy()
+
+        def cost(w: np.ndarray) -> float:
+            return float(c @ np.logaddexp(0, -(a @ w))) + PRIOR / 2 * float((w - w0) @ (w - w0))
+
+        w = w0
+        for _ in range(50):
+            miss = 1 / (1 + np.exp(a @ w))
+            slope = -(c * miss) @ a + PRIOR * (w - w0)
+            step = np.linalg.solve((a * (c * miss * (1 - miss))[:, None]).T @ a + PRIOR * np.eye(len(w)), slope)
+            size = 1.0
+            while cost(w - size * step) > cost(w) and size > 1e-6:
+                size /= 2
+            w = w - size * step
+            if np.abs(step).max() < 1e-6:
+                break
+        out[g] = w
+    return out
+
+
+def learn_weights(learning: DataFrame, code: Code, slots: tuple[int, ...], tables: list[np.ndarray]) -> np.ndarray:
+    """The mixer's weights from all bits of all learning documents; tables: without_own() of each order, the longest with seen."""
+    spark = learning.sparkSession
+    small_batches(spark, 512)
+    held = spark.sparkContext.broadcast((code, tables))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, tables = held.value
+        total = np.zeros(GATES_SEEN * GATES_DEPTH * LEVELS ** len(ORDERS), dtype=np.int64)
+        for b in batches:
+            texts = [t or b"" for t in b.column(0).to_pylist()]
+            for run in pieces(texts, 1 << 18):
+                count_cells(total, code, slots, tables, [texts[k] for k in run])
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])
+
+    each = learning.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "cell int, n long")
+    rows = each.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # GATES_SEEN * GATES_DEPTH * LEVELS ** 3 rows at most
+    held.destroy()
+    cells, n = (rows.column(k).to_numpy() for k in ("cell", "n"))
+    order = np.argsort(cells)
+    return fit_weights(cells[order].astype(np.int64), n[order])
+
+
+def count_cells(total: np.ndarray, code: Code, slots: tuple[int, ...], tables: list[np.ndarray], texts: list[bytes]) -> None:
+    """Adds the texts' bits to total: cells are numbered by depth, what the longest context has seen, and the level of each order's input."""
+    sym, off = symbols_of(texts)
+    ctx, cells = contexts(sym, off), []
+    for lo in range(0, len(sym), 1 << 15):
+        part = slice(lo, lo + (1 << 15))
+        _, bit, cell, places = bits_of(code, sym[part], [c[part] for c in ctx], slots)
+        for t, p, n in reversed(list(zip(tables, places, [LEVELS] * (len(tables) - 1) + [GATES_SEEN * LEVELS]))):
+            cell *= n
+            cell += t.take((p << 1) | bit)
+        cells.append(cell)
+    total += np.bincount(np.concatenate(cells), minlength=len(total))
+
+
 class Model:
-    """code, packed tables and their places, frequent tokens (sorted hashes, counts) and the totals."""
+    """code, packed tables and their places, frequent tokens (sorted hashes, counts), the totals, and the mixer's weights by gate."""
 
-    def __init__(self, code: Code, tables: list[np.ndarray], slots: tuple[int, ...], frequent: tuple[np.ndarray, np.ndarray], total: int, distinct: int):
+    def __init__(self, code: Code, tables: list[np.ndarray], slots: tuple[int, ...], frequent: tuple[np.ndarray, np.ndarray], total: int, distinct: int, weights: np.ndarray | None = None):
         self.code, self.tables, self.slots, self.frequent, self.total, self.distinct = code, tables, slots, frequent, total, distinct
+        self.weights = start_weights() if weights is None else weights
 
     def log2(self, texts: list[bytes]) -> np.ndarray:
         """log2 probability of each text; the same whatever other texts are given."""
@@ -218,7 +305,7 @@ class Model:
         sizes = np.diff(off)
         out = np.zeros(len(texts))
         move = np.zeros((len(texts), len(ORDERS)), dtype=np.float32)
-        w = np.repeat(np.array(START, dtype=np.float32), GATES_DEPTH, axis=0) / np.float32(UNIT)
+        w = np.ascontiguousarray(self.weights.T, dtype=np.float32) / np.float32(UNIT)
         s = 0
         while s < sizes.max():
             alive = np.flatnonzero(sizes > s)
@@ -230,31 +317,30 @@ class Model:
             n = np.add.reduceat(n_sym, heads)
             first = np.cumsum(n) - n
             got = [t.take(p) for t, p in zip(self.tables, places)]
-            gate = gate + (got[-1] & 3) * GATES_DEPTH
+            gate = (gate + (got[-1] & 3) * GATES_DEPTH).astype(np.intp)
             st = [(g >> 2).astype(np.float32) for g in got]
             z = np.zeros(len(bit), dtype=np.float32)
             for k, x in enumerate(st):
-                v = w[:, k].take(gate)
+                v = w[k].take(gate, mode="clip")
                 if s:
                     v += np.repeat(move[alive, k], n)
                 v *= x
                 z += v
-            sign = (2 * bit - 1).astype(np.float32)
+            sign = (1 - 2 * bit).astype(np.float32)
             z *= sign
             np.clip(z, -25, 25, out=z)
-            np.exp(z, out=z)
-            z += 1  # 1 / z: probability of the other bit
-            miss = np.reciprocal(z)
-            hit = np.float32(1) - miss
-            out[alive] += np.add.reduceat(np.log2(np.maximum(hit, np.float32(1e-9))), first, dtype=np.float64)
+            miss = np.exp(z, out=z)
+            hit = miss + np.float32(1)  # 1 / hit: probability of the bit
+            miss /= hit
+            out[alive] -= np.add.reduceat(np.log(hit, out=hit), first, dtype=np.float64)
             s = until
             if s < sizes.max():
                 miss *= sign
-                rate = (RATE / UNIT**2 / np.maximum(n, 200)).astype(np.float32)
+                rate = -(RATE / UNIT**2 / np.maximum(n, 200)).astype(np.float32)
                 for k, x in enumerate(st):
                     x *= miss
                     move[alive, k] += rate * np.add.reduceat(x, first)
-        return out
+        return out / math.log(2)
 
 
 def pairs_of(learning: DataFrame) -> tuple[np.ndarray, int]:
@@ -399,11 +485,15 @@ def fit(learning: DataFrame, base: str) -> tuple[Model, DataFrame]:
     top = words.orderBy(F.desc("c"), "word").limit(FREQUENT).toPandas().sort_values("word")
     limits = limits_of(slots)
     tables = [np.zeros((limits[k + 1] - limits[k]) * CHUNK, dtype=np.int16) for k in range(len(slots))]
+    inputs = [np.zeros(2 * len(t), dtype=np.int8) for t in tables]
     for r in places.toLocalIterator():  # MAX_PLACES bounds them
         k = int(np.searchsorted(limits, r.key, "right")) - 1
-        tables[k][(r.key - limits[k]) * CHUNK :][:CHUNK] = packed(np.frombuffer(r.data, dtype=np.int64).reshape(-1, 2).astype(np.float32))
+        count = np.frombuffer(r.data, dtype=np.int64).reshape(-1, 2).astype(np.float32)
+        tables[k][(r.key - limits[k]) * CHUNK :][:CHUNK] = packed(count)
+        inputs[k][2 * (r.key - limits[k]) * CHUNK :][: 2 * CHUNK] = without_own(count, k == len(slots) - 1)
+    weights = learn_weights(learning, code, slots, inputs)
     frequent = (top["word"].to_numpy(dtype=np.int64), top["c"].to_numpy(dtype=np.float64))
-    return Model(code, tables, slots, frequent, int(t.n or 0), int(t.v)), words
+    return Model(code, tables, slots, frequent, int(t.n or 0), int(t.v), weights), words
 
 
 def score(docs: DataFrame, model: Model, words: DataFrame, base: str) -> DataFrame:
@@ -423,7 +513,7 @@ def score(docs: DataFrame, model: Model, words: DataFrame, base: str) -> DataFra
                 at = np.minimum(np.searchsorted(top, h), max(len(top) - 1, 0))
                 hit = top[at] == h if len(top) else np.zeros(len(h), bool)
                 tokens.append(len(h)), known.append(int(hit.sum())), base_sum.append(float(log_c[at[hit]].sum()) if len(top) else 0.0), rare.append(h[~hit])
-            bits = np.concatenate([m.log2([texts[k] for k in r]) for r in pieces(texts, 1 << 16)]) if texts else np.zeros(0)
+            bits = np.concatenate([m.log2([texts[k] for k in r]) for r in pieces(texts, 1 << 18)]) if texts else np.zeros(0)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(r) for r in rare]))).astype(np.int32)), pa.array(np.concatenate([*rare, np.zeros(0, np.int64)])))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base_sum, pa.float64()), lists, pa.array(bits), pa.array([len(t) for t in texts], pa.int64())], names=["doc_id", "n_tokens", "known", "part", "rare", "bits", "n_bytes"])
 
