@@ -585,6 +585,33 @@ def test_op10_gates_by_depth_differ_and_without_learning_documents_the_start_sta
     assert all(len(np.unique(np.round(rows[:, 1], 3))) == lmscore.GATES_DEPTH for rows in model.weights.reshape(lmscore.GATES_SEEN, lmscore.GATES_DEPTH, -1))
 
 
+def test_op10_bits_of_a_symbol_share_memory_lines_and_no_two_nodes_a_place():
+    learn = [LONG.encode(), b"the cat sat on the mat and the dog sat on the log"]
+    code, slots = lmscore.Code(lmscore.pair_counts(learn).astype(float)), lmscore.places_for(0)
+    sym, off = lmscore.symbols_of(learn)
+    n, _, _, places = lmscore.bits_of(code, sym, lmscore.contexts(sym, off), slots)
+    for table in places[1:]:
+        for first, size in zip(np.cumsum(n) - n, n):
+            at = table[first : first + size]
+            assert len(np.unique(at >> 5)) <= -(-size // 5) and len(np.unique(at[:5])) == min(size, 5)
+    for prev in (0, 97, 256):  # every code word: five levels of a first node have a number each
+        seen = {}
+        for k in range(code.base[prev * 257], code.base[prev * 257 + 256] + code.lens[prev * 257 + 256]):
+            assert seen.setdefault(int(code.homes[k]), code.steps[k] >> 4) == code.steps[k] >> 4
+
+
+def test_op10_scores_whole_texts_in_blocks_of_bounded_size(monkeypatch):
+    texts = [b"hello world " * k for k in range(0, 300, 3)]
+    code, sizes, plain = lmscore.Code(lmscore.pair_counts(texts).astype(float)), [], lmscore.bits_of
+    slots, none = lmscore.places_for(0), np.zeros(0, dtype=np.int64)
+    model = lmscore.Model(code, [lmscore.packed(t) for t in tables_of(code, texts, slots)], slots, (none, none.astype(float)), 0, 0)
+    alone = np.array([model.log2([t])[0] for t in texts])
+    monkeypatch.setattr(lmscore, "BLOCK", 1000)
+    monkeypatch.setattr(lmscore, "bits_of", lambda code, sym, ctx, slots: sizes.append(len(sym)) or plain(code, sym, ctx, slots))
+    assert np.array_equal(model.log2(texts), alone)
+    assert max(sizes) <= 1000 + lmscore.SEGMENT and sum(sizes) == sum(len(t) + 1 for t in texts)
+
+
 def test_op10_tables_grow_with_the_input():
     sizes = [lmscore.places_for(n) for n in (0, 10**8, 10**9, 10**14)]
     assert [x[2] for x in sizes] == [1 << 19, 1 << 19, 1 << 22, 1 << 24] and all(x[1] * 2 == x[2] for x in sizes)

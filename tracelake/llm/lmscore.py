@@ -3,7 +3,7 @@
 Model. A text is its UTF-8 bytes and one end symbol. Each symbol is written in a prefix code that depends on the
 byte before it, so its probability is a product of bit probabilities. Predictors with the contexts of ORDERS
 bytes and the code node, hashed to places beyond order 1, hold counts n0, n1 of all learning documents
-and give stretch((n1 + a) / (n0 + n1 + 2a)). A mixer adds them with weights gated by the bit's depth in the code and by
+and give stretch((n1 + a) / (n0 + n1 + 2a)). Nodes of NEAR levels lie side by side for a context, so a symbol's bits share memory lines. A mixer adds them with weights gated by the bit's depth in the code and by
 how much the longest context has seen. The weights are learned by logistic regression on every bit of all learning documents, each bit's own
 count left out: one pass counts the bits by gate and inputs (in steps of 1 / GRID), and Newton steps on these counts find
 each gate's weights, drawn to START by PRIOR. Within a document they are refined online: after bytes STEPS, then after every
@@ -49,6 +49,10 @@ START = ((0.25, 0.75, 0.0), (0.15, 0.45, 0.45), (0.1, 0.25, 0.75))
 #: Learning: steps of a predictor's input to 1, its values from -CLAMP to CLAMP, and how strongly weights are drawn to START.
 GRID, PRIOR = 2, 1.0
 LEVELS = 2 * int(CLAMP) * GRID + 1
+#: Levels of the code whose nodes lie side by side in a table for one context, 2 ** NEAR places: few memory lines for a symbol.
+NEAR = 5
+#: Symbols worked on at once, and bytes of texts whose contexts are held.
+BLOCK, PIECE = 1 << 14, 1 << 20
 #: Steps of a packed stretch value.
 UNIT = 1000
 _END_WORD = -1  # the hash kept for the end token
@@ -59,17 +63,25 @@ class Code:
 
     def __init__(self, pairs: np.ndarray):
         """pairs: 257 x 257 counts (row 256: at the start of a text)."""
-        lens, steps = [], []
+        lens, steps, homes = [], [], []
         back = pairs.sum(axis=0) + 1e-3
         for prev in range(SYMBOLS):
             weight = pairs[prev] + back * (4.0 / back.sum()) + 1e-4
             for path in self._tree(weight):
                 lens.append(len(path))
                 steps += [(prev * SYMBOLS + n) << 4 | min(d, GATES_DEPTH - 1) << 1 | b for d, (n, b) in enumerate(path)]
+                for d, (n, b) in enumerate(path):
+                    if d % NEAR == 0:
+                        top, slot = prev * SYMBOLS + n, 1
+                    homes.append(top << NEAR | slot)
+                    slot = slot << 1 | b
         self.lens = np.array(lens)
         self.base = np.concatenate(([0], np.cumsum(self.lens)[:-1]))
         #: Node, depth (three bits, capped) and bit of every step of every code word.
         self.steps = np.array(steps, dtype=np.int32)
+        #: For every step the first node of its NEAR levels, hashed, and in the lowest NEAR bits its number in their tree.
+        homes = np.array(homes, dtype=np.uint32)
+        self.homes = (homes >> np.uint32(NEAR)) * np.uint32(0x9E3779B1) >> np.uint32(NEAR) << np.uint32(NEAR) | homes & np.uint32((1 << NEAR) - 1)
 
     @staticmethod
     def _tree(weight: np.ndarray) -> list[list[tuple[int, int]]]:
@@ -148,30 +160,31 @@ def bits_of(code: Code, sym: np.ndarray, ctx: list[np.ndarray], slots: tuple[int
     """Number of bits of each symbol; bit, capped depth and the places in each table of every coded bit."""
     at = ctx[0] * SYMBOLS + sym
     n = code.lens.take(at)
-    start = np.cumsum(n) - n
-    idx = np.repeat(code.base.take(at) - start, n)
+    ends = np.cumsum(n)
+    owner = np.zeros(ends[-1], dtype=np.int64)  # the symbol of each bit
+    owner[ends[:-1]] = 1
+    np.cumsum(owner, out=owner)
+    idx = (code.base.take(at) - ends + n).take(owner, mode="clip")
     idx += np.arange(len(idx))
-    step = code.steps.take(idx)
+    step = code.steps.take(idx, mode="clip")
     node = step >> 4
-    mixed = node.view(np.uint32) * np.uint32(0x9E3779B1)
+    mixed = code.homes.take(idx, mode="clip")
+    slot = mixed & np.uint32((1 << NEAR) - 1)
+    mixed ^= slot
     places = [node]
     for h, size in zip(ctx[1:], slots[1:]):
-        x = np.repeat(h, n)
+        x = h.take(owner, mode="clip")
         x ^= mixed
         x *= np.uint32(0x85EBCA6B)
         x >>= np.uint32(32 - (size.bit_length() - 1))
+        x ^= slot
         places.append(x.view(np.int32))
     return n, step & 1, (step >> 1) & 7, places
 
 
 def count_in(table: np.ndarray, at: np.ndarray) -> None:
-    """Adds one to table at each place. Sorting int32 places is cheaper than touching a large table for each."""
-    if len(table) < 1 << 18:
-        table += np.bincount(at, minlength=len(table))
-        return
-    at = np.sort(at)
-    last = np.flatnonzero(np.concatenate((at[1:] != at[:-1], [True]))) if len(at) else np.zeros(0, np.int64)
-    table[at[last]] += np.diff(last, prepend=-1)
+    """Adds one to table at each place. With a one of the table's type numpy takes its fast path."""
+    np.add.at(table, at.astype(np.intp, copy=False), table.dtype.type(1))
 
 
 def pieces(texts: list[bytes], most: int) -> Iterator[list[int]]:
@@ -280,15 +293,14 @@ def learn_weights(learning: DataFrame, code: Code, slots: tuple[int, ...], table
 def count_cells(total: np.ndarray, code: Code, slots: tuple[int, ...], tables: list[np.ndarray], texts: list[bytes]) -> None:
     """Adds the texts' bits to total: cells are numbered by depth, what the longest context has seen, and the level of each order's input."""
     sym, off = symbols_of(texts)
-    ctx, cells = contexts(sym, off), []
-    for lo in range(0, len(sym), 1 << 15):
-        part = slice(lo, lo + (1 << 15))
+    ctx = contexts(sym, off)
+    for lo in range(0, len(sym), BLOCK):
+        part = slice(lo, lo + BLOCK)
         _, bit, cell, places = bits_of(code, sym[part], [c[part] for c in ctx], slots)
         for t, p, n in reversed(list(zip(tables, places, [LEVELS] * (len(tables) - 1) + [GATES_SEEN * LEVELS]))):
             cell *= n
             cell += t.take((p << 1) | bit)
-        cells.append(cell)
-    total += np.bincount(np.concatenate(cells), minlength=len(total))
+        count_in(total, cell)
 
 
 class Model:
@@ -306,40 +318,43 @@ class Model:
         out = np.zeros(len(texts))
         move = np.zeros((len(texts), len(ORDERS)), dtype=np.float32)
         w = np.ascontiguousarray(self.weights.T, dtype=np.float32) / np.float32(UNIT)
-        s = 0
-        while s < sizes.max():
-            alive = np.flatnonzero(sizes > s)
+        s, longest = 0, sizes.max()
+        while s < longest:
             until = next((x for x in STEPS if x > s), s + SEGMENT)
-            ends = np.minimum(sizes[alive] - s, until - s)
-            heads = np.concatenate(([0], np.cumsum(ends)[:-1]))
-            at = np.repeat(off[alive] + s - heads, ends) + np.arange(int(ends.sum()))
-            n_sym, bit, gate, places = bits_of(self.code, sym.take(at), [c.take(at) for c in ctx], self.slots)
-            n = np.add.reduceat(n_sym, heads)
-            first = np.cumsum(n) - n
-            got = [t.take(p) for t, p in zip(self.tables, places)]
-            gate = (gate + (got[-1] & 3) * GATES_DEPTH).astype(np.intp)
-            st = [(g >> 2).astype(np.float32) for g in got]
-            z = np.zeros(len(bit), dtype=np.float32)
-            for k, x in enumerate(st):
-                v = w[k].take(gate, mode="clip")
-                if s:
-                    v += np.repeat(move[alive, k], n)
-                v *= x
-                z += v
-            sign = (1 - 2 * bit).astype(np.float32)
-            z *= sign
-            np.clip(z, -25, 25, out=z)
-            miss = np.exp(z, out=z)
-            hit = miss + np.float32(1)  # 1 / hit: probability of the bit
-            miss /= hit
-            out[alive] -= np.add.reduceat(np.log(hit, out=hit), first, dtype=np.float64)
-            s = until
-            if s < sizes.max():
-                miss *= sign
-                rate = -(RATE / UNIT**2 / np.maximum(n, 200)).astype(np.float32)
+            alive = np.flatnonzero(sizes > s)
+            ends = np.minimum(sizes[alive], until) - s
+            cuts = np.flatnonzero(np.diff(np.cumsum(ends) // BLOCK)) + 1  # blocks of texts, so that a block's arrays stay in the cache
+            for some, size in zip(np.split(alive, cuts), np.split(ends, cuts)):
+                heads = np.cumsum(size) - size
+                at = np.repeat(off[some] + s - heads, size)
+                at += np.arange(len(at))
+                n_sym, bit, gate, places = bits_of(self.code, sym.take(at), [c.take(at) for c in ctx], self.slots)
+                n = np.add.reduceat(n_sym, heads)
+                first = np.cumsum(n) - n
+                got = [t.take(p) for t, p in zip(self.tables, places)]
+                gate = (gate + (got[-1] & 3) * GATES_DEPTH).astype(np.intp)
+                st = [(g >> 2).astype(np.float32) for g in got]
+                z = np.zeros(len(bit), dtype=np.float32)
                 for k, x in enumerate(st):
-                    x *= miss
-                    move[alive, k] += rate * np.add.reduceat(x, first)
+                    v = w[k].take(gate, mode="clip")
+                    if s:
+                        v += np.repeat(move[some, k], n)
+                    v *= x
+                    z += v
+                sign = (1 - 2 * bit).astype(np.float32)
+                z *= sign
+                np.clip(z, -25, 25, out=z)
+                miss = np.exp(z, out=z)
+                hit = miss + np.float32(1)  # 1 / hit: probability of the bit
+                miss /= hit
+                out[some] -= np.add.reduceat(np.log(hit, out=hit), first, dtype=np.float64)
+                if until < longest:
+                    miss *= sign
+                    rate = -(RATE / UNIT**2 / np.maximum(n, 200)).astype(np.float32)
+                    for k, x in enumerate(st):
+                        x *= miss
+                        move[some, k] += rate * np.add.reduceat(x, first)
+            s = until
         return out / math.log(2)
 
 
@@ -396,14 +411,11 @@ def gather(learning: DataFrame, code: Code, slots: tuple[int, ...], tasks: int,
             for run in pieces(texts, 1 << 18):
                 sym, off = symbols_of([texts[k] for k in run])
                 ctx = contexts(sym, off)
-                waiting: list[list[np.ndarray]] = [[] for _ in tables]
-                for lo in range(0, len(sym), 1 << 15):
-                    part = slice(lo, lo + (1 << 15))
+                for lo in range(0, len(sym), BLOCK):
+                    part = slice(lo, lo + BLOCK)
                     _, bit, _, places = bits_of(held.value, sym[part], [c[part] for c in ctx], slots)
-                    for w, p in zip(waiting, places):
-                        w.append(2 * p + bit)
-                for t, w in zip(tables, waiting):
-                    count_in(t, np.concatenate(w))
+                    for t, p in zip(tables, places):
+                        count_in(t, 2 * p + bit)
         settle()
         if not docs:
             return
@@ -513,7 +525,7 @@ def score(docs: DataFrame, model: Model, words: DataFrame, base: str) -> DataFra
                 at = np.minimum(np.searchsorted(top, h), max(len(top) - 1, 0))
                 hit = top[at] == h if len(top) else np.zeros(len(h), bool)
                 tokens.append(len(h)), known.append(int(hit.sum())), base_sum.append(float(log_c[at[hit]].sum()) if len(top) else 0.0), rare.append(h[~hit])
-            bits = np.concatenate([m.log2([texts[k] for k in r]) for r in pieces(texts, 1 << 18)]) if texts else np.zeros(0)
+            bits = np.concatenate([m.log2([texts[k] for k in r]) for r in pieces(texts, PIECE)]) if texts else np.zeros(0)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(r) for r in rare]))).astype(np.int32)), pa.array(np.concatenate([*rare, np.zeros(0, np.int64)])))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base_sum, pa.float64()), lists, pa.array(bits), pa.array([len(t) for t in texts], pa.int64())], names=["doc_id", "n_tokens", "known", "part", "rare", "bits", "n_bytes"])
 
