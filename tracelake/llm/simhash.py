@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, shared_dir, shuffle_width, small_batches, stored, table
+from .common import components, merged, shared_dir, shuffle_width, small_batches, stored, table
 
 SHINGLE, SEED, TAU = 4, 42, 4
 #: Bits of each ring segment, from the low end.
@@ -161,7 +161,7 @@ def links(fps: DataFrame) -> DataFrame:
     keyed = fps.mapInArrow(explode, "key bigint, fp bigint, probe boolean")
     # Most keys have one member: two aggregates without the members find the buckets that hold a pair.
     size = keyed.groupBy("key").agg(F.count_if(~F.col("probe")).alias("n"), F.count_if("probe").alias("p")).where("n >= 1 and n + p >= 2")
-    live = keyed.join(size, "key").withColumn("blocks", F.greatest(F.lit(1), F.ceil((F.col("n") + F.col("p")) / BLOCK)).cast("int"))
+    live = merged(keyed, size, "key").withColumn("blocks", F.greatest(F.lit(1), F.ceil((F.col("n") + F.col("p")) / BLOCK)).cast("int"))
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     # Indexed rows stay in their own block; every row probes all blocks of its bucket, block by block.
     index = live.where("not probe").select("key", own.alias("block"), "fp", F.lit(False).alias("probe"), F.lit(0).alias("slice"))
@@ -223,10 +223,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = stored(fps.groupBy("fp").agg(F.min("id").alias("low")), f"{base}/classes")
     edges = links(classes.select("fp")).select(F.col("a"), F.col("b"))
     roots = components(edges).withColumnsRenamed({"node": "fp", "root": "root_fp"})
-    named = classes.join(roots, "fp", "left").withColumn("root_fp", F.coalesce("root_fp", "fp"))
+    named = merged(classes, roots, "fp", "left").withColumn("root_fp", F.coalesce("root_fp", "fp"))
     lows = named.groupBy("root_fp").agg(F.min("low").alias("component"))
-    of_class = named.join(lows, "root_fp").select("fp", "component")
-    return fps.join(of_class, "fp").select("id", "fp", "component")
+    of_class = merged(named, lows, "root_fp").select("fp", "component")
+    return merged(fps, of_class, "fp").select("id", "fp", "component")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
