@@ -57,6 +57,27 @@ def test_components_match_union_find(spark):
     assert common.components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
 
 
+def test_joins_of_exploded_frames_are_never_broadcast(spark):
+    """With Spark's own threshold it sizes what a function makes of a small table as small, and would broadcast it through the driver."""
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1"
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    docs = spark.createDataFrame([(k, f"w{k} x y z u v w {k % 3}") for k in range(40)], "doc_id long, text string")
+    fps = spark.createDataFrame([(k * 977,) for k in range(40)], "fp long")
+    for df in (simhash.links(fps), simhash.near_duplicates(docs), jaccard.near_duplicates(docs), common.components(fps.select(F.col("fp").alias("a"), F.lit(0).alias("b")))):
+        assert "BroadcastHashJoin" not in plan(df)
+
+
+def test_common_shingles_are_bounded(spark, monkeypatch, tmp_path):
+    """Of shingles in equally many prefixes about as many as fit are taken, and all commoner ones."""
+    monkeypatch.setattr(jaccard, "COMMON", 1), monkeypatch.setattr(jaccard, "COMMON_MOST", 300)
+    texts = ["a b c d e"] * 5 + [f"p{k} q r s t" for k in range(1000) for _ in range(2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = jaccard.common_shingles(docs, "doc_id", "text", str(tmp_path / "a"))
+    assert 200 < len(got) < 400 and jaccard.shingles_of(b"a b c d e")[0] in got
+    monkeypatch.setattr(jaccard, "COMMON_MOST", 5000)
+    assert len(jaccard.common_shingles(docs, "doc_id", "text", str(tmp_path / "b"))) == 1001
+
+
 # 1 ----------------------------------------------------------------------------------------------------------
 
 
