@@ -270,6 +270,25 @@ def test_reader_conforms_and_logs(spark, tmp_path):
         readers.jsonl(spark, str(tmp_path / "bad.jsonl"), "a string").collect()
 
 
+def test_lines_are_numbered_across_the_pieces_of_a_file(spark, tmp_path):
+    """Two files in pieces of 64 bytes, with blank lines and both line ends; no file is one record."""
+    for k in range(2):
+        (tmp_path / f"p{k}.jsonl").write_bytes(b"".join(b'{"a":"%d-%d"}' % (k, i) + (b"\r\n" if i % 3 else b"\n\n") for i in range(60)))
+    want, base = [], 0
+    for k in range(2):
+        lines = (tmp_path / f"p{k}.jsonl").read_text().split("\n")
+        want += [(base + i + 1, f"{k}-{v.split('-')[1].split(chr(34))[0]}") for i, v in enumerate(lines) if v.strip()]
+        base += max(i + 1 for i, v in enumerate(lines) if v.strip())
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        assert readers.numbered_lines(spark, str(tmp_path / "p0.jsonl")).rdd.getNumPartitions() > 1
+        got = [(r.seq, r.a) for r in readers.ordered_log(spark, str(tmp_path / "p*.jsonl"), "a string").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted(got) == want
+
+
 def test_write_once_refuses(spark, tmp_path):
     df = spark.createDataFrame([("x",)], "a string")
     sinks.write_once(df, str(tmp_path), "job", "r.jsonl")

@@ -344,6 +344,6 @@ def replay_streaming(spark, sf):
 def replay_log_files(spark, sf):
     """The same replay from JSON lines whose order is the files' and lines'."""
     base = shared_dir(spark)
-    sinks.append_log(X.object_events(spark, sf).repartitionByRange(3, "seq").sortWithinPartitions("seq").drop("seq"), f"{base}/log")
+    sinks.append_ordered(X.object_events(spark, sf), f"{base}/log", "seq")
     log = readers.ordered_log(spark, f"{base}/log", "object_id string, event_type string, payload_value double")
     return R.replay_objects(log).agg(F.count(F.lit(1)).alias("live"))
