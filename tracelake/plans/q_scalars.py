@@ -167,7 +167,7 @@ def fn_semver(spark, sf):
 @query("fn_parse_file_id", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 2 THEN NULL ELSE p_partkey END AS file_id FROM part")
 def fn_parse_file_id(spark, sf):
     n = F.col("p_partkey")
-    t = F.when(n % 3 == 0, F.concat(F.lit("file-"), F.lpad(n.cast("string"), 6, "0"))).when(n % 3 == 1, n.cast("string")).otherwise(F.concat(F.lit("file-x"), n.cast("string")))
+    t = F.when(n % 3 == 0, F.format_string("file-%06d", n)).when(n % 3 == 1, n.cast("string")).otherwise(F.concat(F.lit("file-x"), n.cast("string")))
     return X.read(spark, sf, "part").select("p_partkey", S.parse_file_id(t).alias("file_id"))
 
 
