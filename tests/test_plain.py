@@ -38,3 +38,14 @@ def test_decisions_name_targets_of_twelve_digits(spark, tmp_path):
     spark.createDataFrame([(1, 0), (123456, 1), (1234567, None)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     got = {r.decision_id: (r.actor_type, r.target_id, r.outcome) for r in catalog.queries()["scan_ext_decisions"](spark, str(tmp_path)).collect()}
     assert got == {"dec-1": ("user", "obj-000000000001", "released"), "dec-123456": ("user", "obj-000000123456", "withheld"), "dec-1234567": ("user", "obj-000001234567", "released")}
+
+
+def test_keys_of_seven_digits(spark, tmp_path):
+    """Ids are padded to six digits, not cut to them; records of parts and extension records are told apart."""
+    keys = [999_999, 1_000_000, 1_000_001, 1_234_568, 2_000_040]
+    parts = spark.createDataFrame([(k, f"n{k}") for k in keys], "p_partkey long, p_name string")
+    parts.write.parquet(str(tmp_path / "part.parquet"))
+    run = lambda name: sorted(tuple(r) for r in catalog.queries()[name](spark, str(tmp_path)).collect())
+    assert run("fn_parse_file_id") == [(k, None if k % 3 == 2 else k) for k in keys]
+    assert run("parse_ntfs_fixup") == [(k, k % 3 != 0) for k in keys if k % 40]
+    assert run("ntfs_attrlist_merge") == [(k, "ok", 2) for k in keys if k % 40 == 0]

@@ -96,6 +96,10 @@ def parse_ntfs_runs(spark, sf):
     return X.read(spark, sf, "part").select("p_partkey", "p_size").mapInPandas(run, "p_partkey long, lcn long, clusters long")
 
 
+#: Extension records have numbers from here on, behind those of all parts; record numbers have 48 bits.
+EXTENSIONS = 1 << 40
+
+
 def mft(spark, sf):
     """Records of a folder hierarchy of parts: two names each, runs, flags; every 40th has its name in an extension record."""
 
@@ -107,8 +111,8 @@ def mft(spark, sf):
                 names = [images.name_attribute(parent, f"{name[:6].upper()}~1", 2), images.name_attribute(parent, name, 1)]
                 body = [images.times_attribute(134116992000000000, 0x200 if i % 10 == 0 else 0)]
                 if i % 40 == 0:
-                    rows.append((i, images.file_record([*body, images.list_attribute([i + 1_000_000]), images.data_attribute([(i, 2)], i * 10)])))
-                    rows.append((i + 1_000_000, images.file_record(names, base=i)))
+                    rows.append((i, images.file_record([*body, images.list_attribute([EXTENSIONS + i]), images.data_attribute([(i, 2)], i * 10)])))
+                    rows.append((EXTENSIONS + i, images.file_record(names, base=i)))
                 else:
                     rows.append((i, images.file_record([*body, *names, images.data_attribute([(i, 2)], i * 10)], flags=0 if i % 17 == 0 else 1)))
             yield pd.DataFrame(rows, columns=["record", "content"])
@@ -125,7 +129,7 @@ def parse_ntfs_record(spark, sf):
 def parse_ntfs_fixup(spark, sf):
     """Records whose second sector lost its update number are errors."""
     hurt = F.when(F.col("record") % 3 == 0, F.concat(F.substring("content", 1, 1022), F.lit(b"xx").cast("binary"))).otherwise(F.col("content"))
-    raw = mft(spark, sf).where("record % 40 <> 0 AND record < 1000000").withColumn("content", hurt)
+    raw = mft(spark, sf).where(f"record % 40 <> 0 AND record < {EXTENSIONS}").withColumn("content", hurt)
     return disk.file_records(raw).select("record", (F.col("status") != "error").alias("ok"))
 
 
