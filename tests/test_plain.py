@@ -40,6 +40,20 @@ def test_decisions_name_targets_of_twelve_digits(spark, tmp_path):
     assert got == {"dec-1": ("user", "obj-000000000001", "released"), "dec-123456": ("user", "obj-000000123456", "withheld"), "dec-1234567": ("user", "obj-000001234567", "released")}
 
 
+def test_empty_documents_are_objects(spark, tmp_path):
+    """An empty text is a blob of no bytes, which every reader of a store lists."""
+    texts = ["", "a", "b" * 10_000, "a"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    h = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    run = lambda name: sorted(tuple(r) for r in catalog.queries()[name](spark, str(tmp_path)).collect())
+    each = sorted((h(t), len(t)) for t in set(texts))
+    assert run("list_evidence_objects") == each
+    assert run("scan_evidence_object") == run("scan_derived_object") == [(d, n, True) for d, n in each]
+    assert run("object_sha_compute") == [(d, d) for d, _ in each]
+    assert run("scan_blob_chunk") == [("ok", 3)]
+    assert run("scan_derived_streaming") == sorted((h(t), -(-len(t) // 4096)) for t in set(texts) if t)
+
+
 def test_keys_of_seven_digits(spark, tmp_path):
     """Ids are padded to six digits, not cut to them; records of parts and extension records are told apart."""
     keys = [999_999, 1_000_000, 1_000_001, 1_234_568, 2_000_040]
