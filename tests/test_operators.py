@@ -299,6 +299,43 @@ def test_overlap_join_meets_empty_chunks(spark, width):
     assert sorted((x.r, x.seq) for x in got.collect()) == sorted(want)
 
 
+def test_batched_makes_the_lists_of_batches(spark):
+    """Lists run over the borders of partitions, in the table's order, as those that the driver fetches."""
+    df = spark.range(0, 107, 1, 9).select("id", (F.col("id") * 2).alias("x"))
+    want = list(readers.batches(df, 10))
+    got = readers.batched(df, 10).orderBy("batch").collect()
+    assert [r.batch for r in got] == list(range(11)) and [r.rows for r in got] == want
+    assert readers.batched(df.where("id < 0"), 10).count() == 0
+
+
+def test_archives_and_digests_are_not_collected(spark, tmp_path, monkeypatch):
+    """What many tasks write and one joins equals what a list gives; no row of content goes to the driver."""
+    from pyspark.sql import DataFrame
+
+    def refuse(*a, **k):
+        raise AssertionError("rows are fetched")
+
+    files = [(f"d\u00e9/{k:03d}", b"%d" % k * (k % 7)) for k in range(300)]
+    df = spark.createDataFrame([(n, bytearray(x)) for n, x in files], "path string, content binary").repartition(5)
+    monkeypatch.setattr(DataFrame, "toLocalIterator", refuse)
+    p = str(tmp_path / "a.pk")
+    sinks.archive(df, p)
+    packed.write(str(tmp_path / "b.pk"), files)
+    assert packed.read_index(p) == packed.read_index(str(tmp_path / "b.pk"))
+    spark.dataSource.register(packed.PackedSource)
+    rows = spark.read.format("packed_archive").option("content", "true").option("run", 7).load(p).collect()
+    assert sorted((r.path, bytes(r.content)) for r in rows) == files
+    monkeypatch.setattr(packed._Text, "BLOCK", 50)
+    runs = packed.index_runs(p, 7)
+    assert len(runs) == 43 and runs == packed.index_runs(p, 7, 1 << 30) and len(packed.index_runs(p, 300, 1)) > 43
+    whole = sha(b"".join(x for _, x in files))
+    assert sinks.stream_digest(df, "path", "content") == whole
+    for shared in (False, True):
+        assert sinks.raw_export(df, "path", "content", str(tmp_path / "r"), whole, shared) == whole
+    sinks.archive(df.where("path < ''"), p)
+    assert packed.read_index(p) == [] and spark.read.format("packed_archive").load(p).count() == 0
+
+
 def test_write_once_refuses(spark, tmp_path):
     df = spark.createDataFrame([("x",)], "a string")
     sinks.write_once(df, str(tmp_path), "job", "r.jsonl")

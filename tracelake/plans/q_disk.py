@@ -117,7 +117,9 @@ def mft(spark, sf):
                     rows.append((i, images.file_record([*body, *names, images.data_attribute([(i, 2)], i * 10)], flags=0 if i % 17 == 0 else 1)))
             yield pd.DataFrame(rows, columns=["record", "content"])
 
-    return entries(spark, sf).where("id NOT IN (0, 5)").select("id", "parent", "name").mapInPandas(make, "record long, content binary")
+    # The rows are few bytes and much work: a small file, or what AQE makes of a small shuffle, would leave them to a few tasks.
+    rows = entries(spark, sf).where("id NOT IN (0, 5)").select("id", "parent", "name").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
+    return rows.mapInPandas(make, "record long, content binary")
 
 
 @query("parse_ntfs_record", "SELECT id AS record, CASE WHEN id % 40 = 0 THEN 'partial' ELSE 'ok' END AS status, CAST(CASE WHEN id % 40 = 0 THEN 0 ELSE 2 END AS BIGINT) AS names, id * 10 AS size FROM fx_entries WHERE id NOT IN (0, 5)")
@@ -250,7 +252,7 @@ def sink_raw_export(spark, sf):
 @query("pack", "SELECT 'docs/' || lpad(CAST(doc_id AS VARCHAR), 12, '0') || '.txt' AS path, 8 + CAST(coalesce(sum(octet_length(encode(text))) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset FROM documents")
 def pack(spark, sf):
     path = shared_dir(spark) + "/a.pk"
-    packed.write(path, entries_of(spark, sf))
+    sinks.archive(entries_of(spark, sf), path)
     spark.dataSource.register(packed.PackedSource)
     return spark.read.format("packed_archive").load(path).select("path", "offset")
 

@@ -190,7 +190,7 @@ def sdk_verify(spark, sf):
 
     map_, leaves = X.chunk_map(spark, sf), X.leaves(spark, sf)
     text = X.read(spark, sf, "documents").join(map_.select("doc_id", "sequence"), "doc_id").select("sequence", F.col("text").cast("binary").alias("b"))
-    whole = sinks.raw_export(text, "sequence", "b", f"{shared_dir(spark)}/source.raw")
+    whole = sinks.raw_export(text, "sequence", "b", f"{shared_dir(spark)}/source.raw", shared=True)
     nodes = M.tree(leaves)
     top = nodes.orderBy(F.desc("level")).limit(1).first().h
     ok = (set(("sequence", "chunk_id")) <= set(map_.columns), sinks.stream_digest(text, "sequence", "b") == whole, M.root(leaves).first().root == top and not M.invalid_nodes(nodes).limit(1).count())
