@@ -63,3 +63,9 @@ def test_keys_of_seven_digits(spark, tmp_path):
     assert run("fn_parse_file_id") == [(k, None if k % 3 == 2 else k) for k in keys]
     assert run("parse_ntfs_fixup") == [(k, k % 3 != 0) for k in keys if k % 40]
     assert run("ntfs_attrlist_merge") == [(k, "ok", 2) for k in keys if k % 40 == 0]
+
+
+def test_case_event_ids_are_never_cut(spark, tmp_path):
+    spark.createDataFrame([(k,) for k in (0, 999_998, 999_999, 1_000_008)], "event_id long").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.event_id: r.id for r in catalog.queries()["case_event_id"](spark, str(tmp_path)).collect()}
+    assert got == {0: "case-evt-000001", 999_998: "case-evt-999999", 999_999: "case-evt-1000000", 1_000_008: "case-evt-1000009"}
