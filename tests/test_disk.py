@@ -160,3 +160,10 @@ def test_vbr():
 def test_preferred_name(spark):
     df = spark.createDataFrame([([(5, 2, "D"), (5, 0, "P"), (6, 3, "B"), (7, 3, "C")],)], "n array<struct<parent:long,namespace:int,name:string>>")
     assert df.select(disk.preferred(F.col("n")).alias("x")).first().x.name == "B"
+
+
+def test_records_of_a_small_file_are_dealt_to_many_tasks(spark, sf, monkeypatch):
+    from tracelake.plans import q_disk
+
+    monkeypatch.setattr(q_disk, "RECORDS", 50)
+    assert q_disk.mft(spark, sf).rdd.getNumPartitions() == 4  # 200 parts; the session's shuffles have 4 partitions

@@ -98,6 +98,8 @@ def parse_ntfs_runs(spark, sf):
 
 #: Extension records have numbers from here on, behind those of all parts; record numbers have 48 bits.
 EXTENSIONS = 1 << 40
+#: Records that a task makes and parses, up to as many tasks as a shuffle has partitions.
+RECORDS = 4096
 
 
 def mft(spark, sf):
@@ -118,7 +120,8 @@ def mft(spark, sf):
             yield pd.DataFrame(rows, columns=["record", "content"])
 
     # The rows are few bytes and much work: a small file, or what AQE makes of a small shuffle, would leave them to a few tasks.
-    rows = entries(spark, sf).where("id NOT IN (0, 5)").select("id", "parent", "name").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
+    tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), X.read(spark, sf, "part").count() // RECORDS + 1)
+    rows = entries(spark, sf).where("id NOT IN (0, 5)").select("id", "parent", "name").repartition(tasks, "id")
     return rows.mapInPandas(make, "record long, content binary")
 
 
